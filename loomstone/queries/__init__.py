@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from loomstone.sources.tables import load
 
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+from .registry import ORACLES, QUERIES, Query, register
 
+__all__ = ["ORACLES", "QUERIES", "Query", "register", "sql"]
 
-def register(name: str, oracle: str | None = None):
-    def put(f: Query) -> Query:
-        if name in QUERIES:
-            raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = f
-        if oracle:
-            ORACLES[name] = oracle
-        return f
 
-    return put
+def sql(name: str, text: str, oracle: str | None = None) -> None:
+    """Register a query in SQL that both engines read; tables stand in braces."""
+    names = dict.fromkeys(re.findall(r"\{(\w+)\}", text))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(text, **{n: load(spark, sf_dir, n) for n in names})
+
+    register(name, oracle or re.sub(r"\{(\w+)\}", r"\1", text))(run)
+
+
+from . import agents, graphs, indexes, relational, streams, texts, vectors  # noqa: E402, F401
