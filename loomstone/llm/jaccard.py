@@ -20,7 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,10 +35,10 @@ PERCENT = 85
 #: Counters of the sketch as a power of two (the bits sent to executors take an eighth of as many bytes), and the rows that they are cut into.
 SKETCH_BITS, SKETCH_ROWS = 23, 128
 #: A token goes last if its counter is this far above the mean, in pairs and in standard deviations.
-COMMON_PAIRS, COMMON_DEVIATIONS = 64, 8.0
+COMMON_PAIRS, COMMON_DEVIATIONS = 8, 6.0
 SALTS = 64
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-#: Candidates within a token are made by blocks of so many members.
+#: Ids that are sent to all executors at most.
 BROADCAST_IDS = 2_000_000
 
 
@@ -114,7 +114,7 @@ def common_counters(docs: DataFrame, text_col: str, bits: int = SKETCH_BITS) ->
             if row.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([salt]), pa.array([zlib.compress(row.astype(np.uint8 if row.max() < 256 else np.uint32).tobytes(), 1)])], names=["i", "salt", "row"])
 
-    def total(pdf, to=np.int64):
+    def total(pdf):
         out = np.zeros(width, dtype=np.int64)
         for row in pdf["row"]:
             row = zlib.decompress(row)
@@ -130,7 +130,7 @@ def common_counters(docs: DataFrame, text_col: str, bits: int = SKETCH_BITS) ->
         import pandas as pd
 
         row = total(pdf)
-        return pd.DataFrame({"i": pdf["i"][:1], "row": [row.astype(np.int64).tobytes()], "n": [int(row.sum())]})
+        return pd.DataFrame({"i": pdf["i"][:1], "row": [zlib.compress(row.astype(np.int64).tobytes(), 1)], "n": [int(row.sum())]})
 
     part = docs.select(text_col).mapInArrow(count, "i long, salt long, row binary").groupBy("i", "salt").applyInPandas(summed, "i long, row binary")
     rows = checkpointed(part.groupBy("i").applyInPandas(ended, "i long, row binary, n long"))
@@ -140,7 +140,7 @@ def common_counters(docs: DataFrame, text_col: str, bits: int = SKETCH_BITS) ->
 
     def marked(batches):
         for batch in batches:
-            bit = [np.packbits(np.frombuffer(r, np.int64) > level).tobytes() for r in batch.column("row").to_pylist()]
+            bit = [np.packbits(np.frombuffer(zlib.decompress(r), np.int64) > level).tobytes() for r in batch.column("row").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(bit)], names=["i", "bits"])
 
     # SKETCH_ROWS rows of width / 8 bytes: a fixed size.
@@ -170,7 +170,7 @@ def _described(docs: DataFrame, orders, id_col: str, text_col: str, percent: int
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(token, c, n) for each prefix token under the first order."""
+    """(token, c, n, i) for each prefix token under the first order, i its place there from 0."""
 
     def run(batches):
         for batch in batches:
@@ -180,15 +180,16 @@ def _postings(classes: DataFrame) -> DataFrame:
                 size = [len(t) for t in tokens]
                 if sum(size):
                     c, n = (np.repeat(part.column(k).to_numpy(), size) for k in ("c", "n"))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(c), pa.array(n)], names=["token", "c", "n"])
+                    i = np.concatenate([np.arange(k, dtype=np.int32) for k in size])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(c), pa.array(n.astype(np.int32)), pa.array(i)], names=["token", "c", "n", "i"])
 
-    return classes.select("c", "n", "p0").mapInArrow(run, "token long, c long, n long")
+    return classes.select("c", "n", "p0").mapInArrow(run, "token long, c long, n int, i int")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the filters of the other orders and then the test on whole sets."""
-    small = sets.select("c", "p1", "p2")
-    pairs = pairs.join(small.select(F.col("c").alias("a"), F.col("p1").alias("a1"), F.col("p2").alias("a2")), "a").join(small.select(F.col("c").alias("b"), F.col("p1").alias("b1"), F.col("p2").alias("b2")), "b")
+def _verified(pairs: DataFrame, filters: DataFrame, docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the filters of the other orders and then the test on whole sets, which are made from the texts of what is left."""
+    for k in "ab":
+        pairs = pairs.join(filters.select(F.col("c").alias(k), F.col("p1").alias(k + "1"), F.col("p2").alias(k + "2")), k)
 
     def meet(batches):
         for batch in batches:
@@ -198,14 +199,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(all(len(np.intersect1d(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), assume_unique=True)) for x, y in ((a1, b1), (a2, b2))))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.select("a", "b", "a1", "b1", "a2", "b2").mapInArrow(meet, "a long, b long")
+    left = checkpointed(pairs.select("a", "b", "a1", "b1", "a2", "b2").mapInArrow(meet, "a long, b long"))
+    asked = checkpointed(left.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(ids, "c"))
+    sets = checkpointed(_texts(docs, asked, id_col, text_col).mapInArrow(_whole_sets, "c long, s binary").dropDuplicates(["c"]))
     both = left.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
 
     def verify(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -213,8 +216,84 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
 
 
-def _sized(pairs: DataFrame, percent: int) -> DataFrame:
-    return pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+def _class(s: np.ndarray) -> int:
+    return int(mix(s).sum().astype(np.int64)) if len(s) else 0
+
+
+def _whole_sets(batches):
+    for part in slices(batches, "text"):
+        s = shingle_sets(part.column("text"))
+        yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], names=["c", "s"])
+
+
+def _filters(orders, percent: int):
+    """(c, p1, p2): the prefixes under the other orders, as 32-bit hashes."""
+
+    def run(batches):
+        by = Orders(*orders.value)
+        for part in slices(batches, "text"):
+            s = [x for x in shingle_sets(part.column("text")) if len(x)]
+            p = [[np.unique((by.prefix(x, k, prefix_size(len(x), percent)) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in s] for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in s], pa.int64()), *(pa.array(x, pa.binary()) for x in p)], names=["c", "p1", "p2"])
+
+    return run
+
+
+def _texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The texts of some documents; ids is a checkpointed table."""
+    wanted = checkpointed(ids.select("id").distinct())
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(_side(wanted), "id", "left_semi").select("text")
+
+
+def _side(ids: DataFrame) -> DataFrame:
+    """A checkpointed table of ids for a semi or anti join: it goes to all executors if its ids are few, else both sides are shuffled."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _neighbours(percent: int, seed: int = 0):
+    """Candidates within a token: neighbours by size, and neighbours in an order that is another one for each token and seed, so that members of a
+    large group meet many others. Where components k are known, neighbours of one component are left out. The ends of a partition come as pairs with themselves."""
+
+    def run(batches):
+        before = ends = None
+        for batch in batches:
+            t, c, n = (batch.column(k).to_numpy() for k in ("token", "c", "n"))
+            if not len(t):
+                continue
+            g = batch.column("k").to_numpy() if "k" in batch.schema.names else c
+            ends = [c[0], c[-1]] if ends is None else [ends[0], c[-1]]
+            if before is not None:
+                t, c, n, g = (np.concatenate([[x], y]) for x, y in zip(before, (t, c, n, g), strict=True))
+            before = t[-1], c[-1], n[-1], g[-1]
+            deal = np.lexsort((mix(c.astype(np.uint64) ^ mix(t.astype(np.uint64) + np.uint64(seed))), t))
+            found = []
+            for order in (np.arange(len(t)), deal):
+                x, y = order[:-1], order[1:]
+                ok = (t[x] == t[y]) & (g[x] != g[y]) & (100 * np.minimum(n[x], n[y]).astype(np.int64) >= percent * np.maximum(n[x], n[y]).astype(np.int64))
+                found.append(np.stack([np.minimum(c[x[ok]], c[y[ok]]), np.maximum(c[x[ok]], c[y[ok]])]))
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            if pairs.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64())] * 2, names=["a", "b"])
+
+    return run
+
+
+def _open(shared: DataFrame, joined: DataFrame) -> DataFrame:
+    """Members (token, c, n, i, k, main) of the tokens that hold several components; k is a member's component, main the token's largest."""
+    member = shared.join(joined.withColumnRenamed("node", "c"), "c", "left").select("token", "c", "n", "i", F.coalesce("component", "c").alias("k"))
+    group = member.groupBy("token", "k").agg(F.count("*").alias("m"))
+    main = group.groupBy("token").agg(F.max(F.struct("m", "k")).alias("top"), F.count("*").alias("groups")).where("groups > 1").select("token", F.col("top.k").alias("main"))
+    return member.join(main, "token")
+
+
+def _possible(percent: int) -> F.Column:
+    """Whether two sets (na, nb) can be similar enough when they first share the tokens at places ia and ib: by their sizes, and by the tokens that are left."""
+    na, nb = F.col("na").cast("long"), F.col("nb").cast("long")
+    sizes = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+    most = F.least(na - F.col("ia"), nb - F.col("ib"))
+    return sizes & (most * (100 + percent) >= (na + nb) * percent)
 
 
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -225,66 +304,39 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     orders = spark.sparkContext.broadcast((common_counters(docs, text_col), SKETCH_BITS))
     rows = checkpointed(_described(docs, orders, id_col, text_col, percent))
-    # A class is known by two hashes of its set; one copy of each goes on. Partial aggregation takes the copies together before the shuffle.
-    first = rows.where("n > 0").groupBy("c", "c2", "n").agg(F.min(id_col).alias("id"))
-    classes = checkpointed(first.groupBy("c").agg(F.min("id").alias("id")))
-    lead = rows.where("n > 0").withColumnRenamed(id_col, "id").join(classes, ["c", "id"], "left_semi")
-    if not classes.groupBy("id").count().where("count > 1").isEmpty() or not docs.groupBy(id_col).count().where("count > 1").isEmpty():
+    # A class is known by two hashes of its set; of its copies the one of the smallest id goes on. Only the ids of the others are looked up.
+    full = rows.where("n > 0").withColumnRenamed(id_col, "id")
+    copied = full.groupBy("c", "c2", "n").agg(F.min("id").alias("first"), F.count("*").alias("m")).where("m > 1").select("c", "first")
+    gone = checkpointed(full.select("id", "c").join(copied, "c").where("id <> first").select("id").distinct())
+    lead = full.select("id", "c", "n", "p0").join(_side(gone), "id", "left_anti")
+    if not full.groupBy("id").count().where("count > 1").isEmpty():
         lead = lead.dropDuplicates(["c"])  # ids that stand in several rows
-    # Only tokens of two classes or more can make a candidate.
-    shared = checkpointed(_postings(lead).withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df"))
-    wanted = shared.select("c").distinct().join(classes, "c")
-    sets = checkpointed(_sets(docs, wanted, orders, id_col, text_col, percent))
-
-    # Neighbours by size within a token; a range partition may part a token, what it parts is found in the second step.
-    def neighbours(batches):
-        before = None
-        for batch in batches:
-            t, c, n = (batch.column(k).to_numpy() for k in ("token", "c", "n"))
-            if before is not None:
-                t, c, n = (np.concatenate([[x], y]) for x, y in zip(before, (t, c, n), strict=True))
-            same = np.flatnonzero(t[1:] == t[:-1])
-            if len(t):
-                before = t[-1], c[-1], n[-1]
-            if len(same):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.minimum(c[same], c[same + 1]), np.maximum(c[same], c[same + 1]), n[same], n[same + 1])], names=["a", "b", "na", "nb"])
-
-    chain = shared.repartitionByRange("token", "n", "c").sortWithinPartitions("token", "n", "c").mapInArrow(neighbours, "a long, b long, na long, nb long")
-    links = checkpointed(_verified(_sized(chain, percent).select("a", "b").distinct(), sets, percent))
-    joined = components(links)
-    member = shared.join(joined.withColumnRenamed("node", "c"), "c", "left").select("token", "c", "n", F.coalesce("component", "c").alias("k"))
-    group = member.groupBy("token", "k").agg(F.count("*").alias("m"))
-    main = group.groupBy("token").agg(F.max(F.struct("m", "k")).alias("top"), F.count("*").alias("groups")).where("groups > 1").select("token", F.col("top.k").alias("main"))
-    open_ = checkpointed(member.join(main, "token"))
-    others = open_.where("k <> main").select("token", "main", F.col("c").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka"))
-    cross = others.join(open_.select("token", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb")), "token").where("ka <> kb AND (kb = main OR a < b)")
-    tried = _sized(cross, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.union(_verified(tried, sets, percent))
+    # Neighbours by size within a token. A range partition may part a token: its first and last members are kept, and what is parted is found in the second step.
+    chain = checkpointed(_postings(lead).drop("i").repartitionByRange("token", "n", "c").sortWithinPartitions("token", "n", "c").mapInArrow(_neighbours(percent), "a long, b long").distinct())
+    # Members between two of a candidate pair are of sizes between theirs, so every member of a candidate pair has such a neighbour.
+    wanted = checkpointed(chain.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(lead.select("c", "id"), "c"))
+    filters = checkpointed(_texts(docs, wanted, id_col, text_col).mapInArrow(_filters(orders, percent), "c long, p1 binary, p2 binary").join(_side(wanted.select("c")), "c", "left_semi").dropDuplicates(["c"]))
+    verified = lambda pairs: _verified(pairs, filters, docs, wanted, id_col, text_col, percent)
+    shared = _postings(lead.join(_side(wanted.select("c")), "c", "left_semi"))
+
+    links = checkpointed(verified(chain.where("a <> b")))
+    # Members that no link has joined to most of their group yet meet others once more, before all that is left is tried.
+    open_ = checkpointed(_open(shared, components(links)))
+    again = open_.repartitionByRange("token", "n", "c").sortWithinPartitions("token", "n", "c").mapInArrow(_neighbours(percent, 1), "a long, b long").where("a <> b").distinct()
+    links = checkpointed(links.union(verified(again)))
+    open_ = checkpointed(_open(open_.select("token", "c", "n", "i"), components(links)))
+    others = open_.where("k <> main").select("token", "main", F.col("c").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("k").alias("ka"))
+    every = open_.select("token", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("k").alias("kb"))
+    cross = others.join(every, (others["token"] == every["token"]) & (F.col("ka") != F.col("kb")) & ((F.col("kb") == F.col("main")) | (F.col("a") < F.col("b"))) & _possible(percent))
+    tried = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = links.union(verified(tried))
     final = components(links)
-    label = classes.select("c", "id").join(final.withColumnRenamed("node", "c"), "c", "left").select("c", "id", F.coalesce("component", "c").alias("k"))
+    label = full.groupBy("c").agg(F.min("id").alias("id")).join(final.withColumnRenamed("node", "c"), "c", "left").select("c", "id", F.coalesce("component", "c").alias("k"))
     ids = label.join(label.groupBy("k").agg(F.min("id").alias("component_id")), "k").select("c", "component_id")
     out = rows.select(id_col, F.col("n").alias("n_shingles"), "c").join(ids, "c", "left")
     return out.select(id_col, "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col(id_col)).alias("component_id"))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, orders, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """(c, s, p1, p2): of each class that shares a prefix token the whole set, and its prefixes under the other orders as 32-bit hashes, from the text of its first document."""
-    ids = checkpointed(wanted.select("c", "id"))
-    # The ids go to all executors if they are few; else documents and ids meet in a shuffle.
-    side = F.broadcast(ids.select("id").distinct()) if ids.count() <= BROADCAST_IDS else ids.select("id").distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(side, "id", "left_semi")
-
-    def run(batches):
-        by = Orders(*orders.value)
-        for part in slices(batches, "text"):
-            s = [x for x in shingle_sets(part.column("text")) if len(x)]
-            c = np.array([int(mix(x).sum()) for x in s], dtype=np.uint64).astype(np.int64)
-            p = [[np.unique((by.prefix(x, k, prefix_size(len(x), percent)) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in s] for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array([x.tobytes() for x in s], pa.binary()), *(pa.array(x, pa.binary()) for x in p)], names=["c", "s", "p1", "p2"])
-
-    return texts.select("text").mapInArrow(run, "c long, s binary, p1 binary, p2 binary").join(ids.select("c"), "c", "left_semi").dropDuplicates(["c"])
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The row of the smallest id of each component, with all columns; of several rows of that id one stays. Rows of a null id stay."""
     found = ngram_jaccard(docs, id_col, text_col, percent).select(F.col(id_col).alias("_id"), "component_id")
