@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 LINKS = "a long, b long"
+#: Links that one task joins at most; more are joined in rounds of shuffles.
+TASK_LINKS = 400_000
 
 
 def forest(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
@@ -45,10 +47,21 @@ def _thinned(links: DataFrame) -> DataFrame:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that links lead to, for every node with a link to another.
 
-    links: long columns a and b, in any direction, repeated as may be; links of a node to itself and nulls are left out. Each round
-    makes all larger neighbours of a node point to its smallest, then all smaller ones (large and small star), until nothing changes."""
+    links: long columns a and b, in any direction, repeated as may be; links of a node to itself and nulls are left out. Up to TASK_LINKS
+    forest links are joined in one task. Beyond, each round makes all larger neighbours of a node point to its smallest, then all smaller ones (large and small star), until nothing changes."""
     now = _thinned(links.select(F.col(links.columns[0]).cast("long").alias("a"), F.col(links.columns[1]).cast("long").alias("b")).where("a <> b"))
     now = checkpointed(now.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if now.count() <= TASK_LINKS:
+
+        def run(batches):
+            a, b = [], []
+            for batch in batches:
+                a += batch.column(0).to_pylist()
+                b += batch.column(1).to_pylist()
+            a, b = forest(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["node", "component"])
+
+        return now.repartition(1).mapInArrow(run, "node long, component long")
     state = None
     for _ in range(rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

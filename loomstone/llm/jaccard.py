@@ -95,7 +95,7 @@ class Orders:
         return np.concatenate([np.sort(rare), np.sort(often)[: size - len(rare)]])
 
 
-def common_counters(docs: DataFrame, text_col: str, bits: int = SKETCH_BITS) -> bytes:
+def common_counters(docs: DataFrame, text_col: str, bits: int) -> bytes:
     """A bit for each counter: whether its tokens go last. Counters are summed in rows of fixed size, first within salts, so no task gathers more than a share."""
     width = (1 << bits) // SKETCH_ROWS
 
@@ -241,8 +241,7 @@ def _filters(orders, percent: int):
 
 def _texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The texts of some documents; ids is a checkpointed table."""
-    wanted = checkpointed(ids.select("id").distinct())
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(_side(wanted), "id", "left_semi").select("text")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(_side(ids.select("id")), "id", "left_semi").select("text")
 
 
 def _side(ids: DataFrame) -> DataFrame:
@@ -302,7 +301,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null texts and texts without words have an empty set and stand alone. Repeated rows come back as often, in one component;
     ids are long numbers, and rows of a null id get the component's smallest id, or null alone. Other columns are not read."""
     spark = docs.sparkSession
-    orders = spark.sparkContext.broadcast((common_counters(docs, text_col), SKETCH_BITS))
+    orders = spark.sparkContext.broadcast((common_counters(docs, text_col, SKETCH_BITS), SKETCH_BITS))
     rows = checkpointed(_described(docs, orders, id_col, text_col, percent))
     # A class is known by two hashes of its set; of its copies the one of the smallest id goes on. Only the ids of the others are looked up.
     full = rows.where("n > 0").withColumnRenamed(id_col, "id")
@@ -321,10 +320,10 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     links = checkpointed(verified(chain.where("a <> b")))
     # Members that no link has joined to most of their group yet meet others once more, before all that is left is tried.
-    open_ = checkpointed(_open(shared, components(links)))
+    open_ = checkpointed(_open(shared, checkpointed(components(links))))
     again = open_.repartitionByRange("token", "n", "c").sortWithinPartitions("token", "n", "c").mapInArrow(_neighbours(percent, 1), "a long, b long").where("a <> b").distinct()
     links = checkpointed(links.union(verified(again)))
-    open_ = checkpointed(_open(open_.select("token", "c", "n", "i"), components(links)))
+    open_ = checkpointed(_open(open_.select("token", "c", "n", "i"), checkpointed(components(links))))
     others = open_.where("k <> main").select("token", "main", F.col("c").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("k").alias("ka"))
     every = open_.select("token", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("k").alias("kb"))
     cross = others.join(every, (others["token"] == every["token"]) & (F.col("ka") != F.col("kb")) & ((F.col("kb") == F.col("main")) | (F.col("a") < F.col("b"))) & _possible(percent))
