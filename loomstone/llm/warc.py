@@ -40,8 +40,9 @@ def resolve_revisits(records: DataFrame, stretches: int = STRETCHES) -> DataFram
     rows = records.where(F.col("kind").isin("response", "revisit")).select(
         "record_id", canonical_url(F.col("url")).alias("url_key"), F.col("captured").cast("long").alias("captured"), "kind", "etag", "last_modified", "digest", F.coalesce(F.array_sort(lower), F.array().cast("array<struct<key:string,value:string>>")).alias("fields")
     )
-    span = rows.agg(F.min("captured").alias("low"), (F.max("captured") - F.min("captured") + 1).alias("width"))
-    rows = rows.crossJoin(F.broadcast(span)).withColumn("stretch", F.coalesce(F.floor((F.col("captured") - F.col("low")) * stretches / F.col("width")), F.lit(0))).drop("low", "width")
+    low, high = rows.agg(F.min("captured"), F.max("captured")).first()
+    place = F.floor((F.col("captured") - F.lit(low)) * stretches / F.lit((high or 0) - (low or 0) + 1))
+    rows = rows.withColumn("stretch", F.coalesce(place, F.lit(0)))
     full = F.when((F.col("kind") == "response") & F.col("captured").isNotNull() & F.col("url_key").isNotNull(), F.struct("captured", "record_id", "etag", "last_modified", "digest", "fields"))
     before = Window.partitionBy("url_key", "stretch").orderBy("captured").rangeBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("near", F.max(full).over(before)).where("kind = 'revisit'")
