@@ -95,7 +95,7 @@ class Vectors:
         """Rows (id, vector, payload); those of known ids are replaced."""
         dim, _ = self._meta(name)
         if not isinstance(rows, DataFrame):
-            rows = self.engine.spark.createDataFrame([(*r, None)[:3] for r in rows], "id string, vector array<float>, payload string")
+            rows = self.engine.spark.createDataFrame([(r[0], [float(x) for x in r[1]], *r[2:], None)[:3] for r in rows], "id string, vector array<float>, payload string")
         vector.check_dimension(rows, dim)
         self.engine.catalog.replace(self._table(name), vector.upsert(self.engine.catalog.read(self._table(name)), rows))
 

@@ -120,10 +120,11 @@ class Catalog:
         out = self._fs.create(new, True)
         out.write(bytearray(text.encode()))
         out.close()
-        if self._fs.exists(old):
-            self._fs.delete(old, False)
-        if not self._fs.rename(new, old):
-            raise CatalogError("the manifest could not be replaced")
+        jvm, context = self.spark.sparkContext._jvm, self.spark.sparkContext
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = context._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), context._jsc.hadoopConfiguration()).rename(new, old, how)
         self.state = state
 
     # Names

@@ -21,7 +21,7 @@ def test_sessions_match_batch(spark, tmp_path):
     got = {tuple(r) for r in drain(windows.sessionize(stream), "append", "closed_sessions").collect()}
     late = batch.agg(F.max("ts").cast("timestamp") - F.expr("INTERVAL 1 HOUR")).first()[0]
     whole = windows.sessionize(batch.withColumn("ts", F.col("ts").cast("timestamp")))
-    assert got == {tuple(r) for r in whole.where(F.col("session_end") <= F.lit(late)).collect()}
+    assert got == {tuple(r) for r in whole.where(F.col("session_end").cast("timestamp") < F.lit(late)).collect()}
 
 
 def test_tumbling_and_duplicates(spark, tmp_path):
