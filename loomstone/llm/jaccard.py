@@ -20,7 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -280,11 +280,13 @@ def _neighbours(percent: int, seed: int = 0):
 
 
 def _open(shared: DataFrame, joined: DataFrame) -> DataFrame:
-    """Members (token, c, n, i, k, main) of the tokens that hold several components; k is a member's component, main the token's largest."""
-    member = shared.join(joined.withColumnRenamed("node", "c"), "c", "left").select("token", "c", "n", "i", F.coalesce("component", "c").alias("k"))
-    group = member.groupBy("token", "k").agg(F.count("*").alias("m"))
-    main = group.groupBy("token").agg(F.max(F.struct("m", "k")).alias("top"), F.count("*").alias("groups")).where("groups > 1").select("token", F.col("top.k").alias("main"))
-    return member.join(main, "token")
+    """Members (token, c, n, i, k, main) of the tokens that hold several components; k is a member's component, main that of the token's components that is largest over all."""
+    size = joined.join(joined.groupBy("component").agg(F.count("*").alias("size")), "component").select(F.col("node").alias("c"), F.col("component").alias("k"), "size")
+    size = checkpointed(size.unionByName(joined.groupBy(F.col("component").alias("c")).agg(F.min("component").alias("k"), F.count("*").alias("size"))))
+    member = shared.join(_side(size), "c", "left").select("token", "c", "n", "i", F.coalesce("k", "c").alias("k"), F.coalesce("size", F.lit(0)).alias("size"))
+    token = Window.partitionBy("token")
+    seen = member.withColumn("low", F.min("k").over(token)).withColumn("high", F.max("k").over(token)).withColumn("main", F.max(F.struct("size", "k")).over(token)["k"])
+    return seen.where("low <> high").select("token", "c", "n", "i", "k", "main")
 
 
 def _possible(percent: int) -> F.Column:
@@ -316,7 +318,9 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = checkpointed(chain.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(lead.select("c", "id"), "c"))
     filters = checkpointed(_texts(docs, wanted, id_col, text_col).mapInArrow(_filters(orders, percent), "c long, p1 binary, p2 binary").join(_side(wanted.select("c")), "c", "left_semi").dropDuplicates(["c"]))
     verified = lambda pairs: _verified(pairs, filters, docs, wanted, id_col, text_col, percent)
-    shared = _postings(lead.join(_side(wanted.select("c")), "c", "left_semi"))
+    # Of their tokens those that several have, in one exchange by token.
+    shared = _postings(lead.join(_side(wanted.select("c")), "c", "left_semi")).withColumn("m", F.count("*").over(Window.partitionBy("token")))
+    shared = checkpointed(shared.where("m > 1").drop("m"))
 
     links = checkpointed(verified(chain.where("a <> b")))
     # Members that no link has joined to most of their group yet meet others once more, before all that is left is tried.
