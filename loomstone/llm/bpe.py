@@ -26,7 +26,7 @@ from .common import slices
 #: Fixed value: the pre-tokenisation pattern of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries that the tables of a worker hold at most; a fuller one is begun anew.
-CACHE_WORDS, CACHE_PREFIXES, CACHE_ARCS = 250_000, 400_000, 300_000
+CACHE_WORDS, CACHE_PREFIXES, CACHE_ARCS = 150_000, 150_000, 200_000
 #: Words of more bytes are encoded without being kept.
 CACHE_LENGTH = 48
 

@@ -119,7 +119,7 @@ class Scorer:
     def word(self, w: str) -> float:
         g = self._known.get(w)
         if g is None:
-            if len(self._known) > 300_000:
+            if len(self._known) > 150_000:
                 self._known.clear()
             g = self._known[w] = float(self.weights[parts(w)].sum())
         return g
