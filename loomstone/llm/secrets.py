@@ -127,11 +127,11 @@ def cleared(p_values: list[float], lengths: list[int], level: float = CLEAR_FDR)
     roots = [math.sqrt(x) for x in lengths]
     mean = sum(roots) / n
     q = [p * mean / w for p, w in zip(p_values, roots, strict=True)]
-    limit = 0.0
+    limit = -1.0
     for rank, value in enumerate(sorted(q), 1):
         if value <= level * rank / n:
             limit = value
-    return [x <= limit and limit > 0 for x in q]
+    return [x <= limit for x in q]
 
 
 @functools.lru_cache(maxsize=4096)
