@@ -21,12 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import release, slices
 
 #: Fixed value: the pre-tokenisation pattern of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries that the tables of a worker hold at most; a fuller one is begun anew.
-CACHE_WORDS, CACHE_PREFIXES, CACHE_ARCS = 150_000, 150_000, 200_000
+CACHE_WORDS, CACHE_PREFIXES, CACHE_ARCS = 100_000, 100_000, 120_000
 #: Words of more bytes are encoded without being kept.
 CACHE_LENGTH = 48
 
@@ -75,6 +75,7 @@ class Automaton:
             self._merged.setdefault((a, b), time)
         self._tokens = {self.label[c]: c for c in self._born}
         self._longest = max(map(len, self._tokens))
+        self._arcs.clear()
         self._width = {c: len(self.label[c]) for c in self._born}
         self._tails = dict.fromkeys((x[i:] for x in self._tokens for i in range(1, len(x))), -1) | self._tokens
         self._last = len(spec["model"]["merges"])
@@ -173,6 +174,12 @@ class Automaton:
             out += [(str(i), self.label[i])] if i is not None else map(self._kept.__getitem__, self._split(part))
         return out
 
+    def forget(self) -> None:
+        """Empty the tables that grow."""
+        for table in (self._kept, self._behind, self._arcs):
+            table.clear()
+        release()
+
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for s, _ in self._entries(text or "") for i in s.split(",")]
 
@@ -208,6 +215,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: st
         for part in slices(batches, text_col):
             ids = [auto.encode(t) for t in part.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(ids, pa.list_(pa.int32()))], names=[*keep, out])
+        auto.forget()
 
     return docs.mapInArrow(run, schema) if text_col != out else bpe_encode(docs.withColumnRenamed(text_col, "_text"), vocabulary, "_text", out).drop("_text")
 
@@ -239,5 +247,6 @@ def bpe_digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
                 rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest()))
             n, ids, raw = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(raw)], names=schema.names)
+        auto.forget()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

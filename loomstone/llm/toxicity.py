@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import release, slices
 
 #: Labelled documents that the fit uses at most, and the bytes of text that it takes of them at most.
 SAMPLE, SAMPLE_BYTES = 10_000, 48 << 20
@@ -116,6 +116,11 @@ class Scorer:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias, self._known = weights, bias, {}
 
+    def forget(self) -> None:
+        """Empty the table that grows."""
+        self._known.clear()
+        release()
+
     def word(self, w: str) -> float:
         g = self._known.get(w)
         if g is None:
@@ -158,6 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         size = np.cumsum([len(text.encode()) for _, text, _ in got])
         n = int(np.searchsorted(size, SAMPLE_BYTES, side="right"))
         weights, bias = fit([text for _, text, _ in got[:n]], np.array([y for *_, y in got[:n]], dtype=float))
+        del got
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()]), pa.array([bias])], names=["weights", "bias"])
 
     got = rows.repartition(1).mapInArrow(learn, "weights binary, bias double").collect()
@@ -182,6 +189,7 @@ def toxicity(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
                 found.append([{"start": a, "end": b, "score": s} for (a, b), s in zip(spans(text), each.tolist(), strict=False) if s >= threshold] if len(each) and each.max() >= threshold else [])
             score = np.array(scores)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(found, pa.list_(span))], names=schema.names)
+        scorer.forget()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -193,5 +201,6 @@ def drop_toxic(docs: DataFrame, model, text_col: str = "text", threshold: float
         scorer = model.value
         for part in slices(batches, text_col):
             yield part.filter(pa.array([scorer.score(t) < threshold for t in part.column(text_col).to_pylist()], pa.bool_()))
+        scorer.forget()
 
     return docs.mapInArrow(run, docs.schema)
