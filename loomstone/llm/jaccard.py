@@ -196,7 +196,7 @@ def _verified(pairs: DataFrame, filters: DataFrame, docs: DataFrame, ids: DataFr
             cols = [batch.column(k).to_pylist() for k in ("a1", "b1", "a2", "b2")]
             keep = []
             for a1, b1, a2, b2 in zip(*cols, strict=True):
-                keep.append(all(len(np.intersect1d(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), assume_unique=True)) for x, y in ((a1, b1), (a2, b2))))
+                keep.append(all(len(np.intersect1d(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), assume_unique=True)) for x, y in ((a1, b1), (a2, b2))))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = checkpointed(pairs.select("a", "b", "a1", "b1", "a2", "b2").mapInArrow(meet, "a long, b long"))
@@ -227,13 +227,13 @@ def _whole_sets(batches):
 
 
 def _filters(orders, percent: int):
-    """(c, p1, p2): the prefixes under the other orders, as 16-bit hashes; equal ones may stand for other tokens, so the filter lets no link go."""
+    """(c, p1, p2): the prefixes under the other orders, as 32-bit hashes; equal ones may stand for other tokens, so the filter lets no link go."""
 
     def run(batches):
         by = Orders(*orders.value)
         for part in slices(batches, "text"):
             s = [x for x in shingle_sets(part.column("text")) if len(x)]
-            p = [[np.unique((by.prefix(x, k, prefix_size(len(x), percent)) >> np.uint64(48)).astype(np.uint16)).tobytes() for x in s] for k in (1, 2)]
+            p = [[np.unique((by.prefix(x, k, prefix_size(len(x), percent)) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in s] for k in (1, 2)]
             yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in s], pa.int64()), *(pa.array(x, pa.binary()) for x in p)], names=["c", "p1", "p2"])
 
     return run
