@@ -20,8 +20,9 @@ def test_sessions_match_batch(spark, tmp_path):
     stream = windows.event_stream(spark, f"{tmp_path}/in", batch.schema)
     got = {tuple(r) for r in drain(windows.sessionize(stream), "append", "closed_sessions").collect()}
     late = batch.agg(F.max("ts").cast("timestamp") - F.expr("INTERVAL 1 HOUR")).first()[0]
-    whole = windows.sessionize(batch.withColumn("ts", F.col("ts").cast("timestamp")))
-    assert got == {tuple(r) for r in whole.where(F.col("session_end").cast("timestamp") < F.lit(late)).collect()}
+    # Filtered here: a filter on the end of a session would be pushed below the merging of its events.
+    whole = windows.sessionize(batch.withColumn("ts", F.col("ts").cast("timestamp"))).collect()
+    assert got == {tuple(r) for r in whole if r["session_end"] <= late}
 
 
 def test_tumbling_and_duplicates(spark, tmp_path):
