@@ -51,7 +51,8 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         windows = h.copy()
         for k in range(1, shingle):
-            windows[: n - k] = windows[: n - k] * base + h[k:]
+            m = max(0, n - k)
+            windows[:m] = windows[:m] * base + h[k:]
         windows = mix(windows)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):

@@ -149,6 +149,15 @@ def test_jaccard_edges(spark):
     assert sorted(r["doc_id"] for r in jaccard.keep_one(rows).collect()) == [1, 3]
 
 
+def test_jaccard_of_few_words(spark):
+    """A slice may hold fewer words than a shingle."""
+    for n in range(7):
+        text = " ".join(f"w{i}" for i in range(n))
+        assert [len(s) for s in jaccard.shingle_sets(pa.array([text]))] == [max(min(n, 1), n - 3)]
+    rows = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
+    assert [tuple(r) for r in jaccard.ngram_jaccard(rows).collect()] == [(1, 1, 1)]
+
+
 def test_jaccard_on_tables(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     assert sorted(tuple(r) for r in queries.QUERIES["op5_ngram_jaccard"](spark, DATA).collect()) == brute_jaccard(docs)
