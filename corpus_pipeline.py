@@ -1,6 +1,6 @@
 """A training-data pipeline over documents: each stage applies one operator to what the stage before it kept.
 
-toxicity drops documents that score as toxic; near_duplicates leaves one document of each group; decontamination drops documents
+toxicity drops documents that score as toxic; near_duplicates leaves one document of each group (five-word shingles, similarity 0.8); decontamination drops documents
 that hold a benchmark window; secrets masks what it finds; tokens encodes the texts that are left.
 """
 
@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 from loomstone.llm import bpe, decontam, jaccard, secrets
 from loomstone.llm import toxicity as toxic
 
+#: Near duplicates share this many hundredths of their shingles of so many words; op5 has its own.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxic.drop_toxic(docs, toxic.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, percent=NEAR_PERCENT, shingle=NEAR_SHINGLE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,7 +96,7 @@ class Orders:
         return np.concatenate([np.sort(rare), np.sort(often)[: size - len(rare)]])
 
 
-def common_counters(docs: DataFrame, text_col: str, bits: int) -> bytes:
+def common_counters(docs: DataFrame, text_col: str, bits: int, shingle: int = SHINGLE) -> bytes:
     """A bit for each counter: whether its tokens go last. Counters are summed in rows of fixed size, first within salts, so no task gathers more than a share."""
     width = (1 << bits) // SKETCH_ROWS
 
@@ -105,7 +105,7 @@ def common_counters(docs: DataFrame, text_col: str, bits: int) -> bytes:
 
         counts = np.zeros(1 << bits, dtype=np.uint32)
         for part in slices(batches, 0):
-            sets = [s for s in shingle_sets(part.column(0)) if len(s)]
+            sets = [s for s in shingle_sets(part.column(0), shingle) if len(s)]
             if sets:
                 at, n = np.unique(counter_of(np.concatenate(sets), bits), return_counts=True)
                 counts[at] += n.astype(np.uint32)
@@ -149,7 +149,7 @@ def common_counters(docs: DataFrame, text_col: str, bits: int) -> bytes:
     return b"".join(got.get(i, bytes(width // 8)) for i in range(SKETCH_ROWS))
 
 
-def _described(docs: DataFrame, orders, id_col: str, text_col: str, percent: int) -> DataFrame:
+def _described(docs: DataFrame, orders, id_col: str, text_col: str, percent: int, shingle: int) -> DataFrame:
     """For each row: id, n, the class of its set (two hashes), and the prefix under the first order."""
     schema = T.StructType([docs.schema[id_col], *T._parse_datatype_string("n long, c long, c2 long, p0 binary").fields])
 
@@ -158,7 +158,7 @@ def _described(docs: DataFrame, orders, id_col: str, text_col: str, percent: int
         salt = np.uint64(0xD1B54A32D192ED03)
         for part in slices(batches, 1):
             cols: list[list] = [[] for _ in range(4)]
-            for s in shingle_sets(part.column(1)):
+            for s in shingle_sets(part.column(1), shingle):
                 size = prefix_size(len(s), percent)
                 one, two = (int(x) for x in (mix(s).sum(), mix(s ^ salt).sum())) if len(s) else (0, 0)
                 row = len(s), one, two, by.prefix(s, 0, size).tobytes() if size else b""
@@ -187,7 +187,7 @@ def _postings(classes: DataFrame) -> DataFrame:
     return classes.select("c", "n", "p0").mapInArrow(run, "token long, c long, n int, i int")
 
 
-def _verified(pairs: DataFrame, filters: DataFrame, docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, filters: DataFrame, docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, percent: int, shingle: int) -> DataFrame:
     """The pairs (a, b) that pass the filters of the other orders and then the test on whole sets, which are made from the texts of what is left."""
     for k in "ab":
         pairs = pairs.join(filters.select(F.col("c").alias(k), F.col("p1").alias(k + "1"), F.col("p2").alias(k + "2")), k)
@@ -202,7 +202,7 @@ def _verified(pairs: DataFrame, filters: DataFrame, docs: DataFrame, ids: DataFr
 
     left = checkpointed(pairs.select("a", "b", "a1", "b1", "a2", "b2").mapInArrow(meet, "a long, b long"))
     asked = checkpointed(left.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(ids, "c"))
-    sets = checkpointed(_texts(docs, asked, id_col, text_col).mapInArrow(_whole_sets, "c long, s binary").dropDuplicates(["c"]))
+    sets = checkpointed(_texts(docs, asked, id_col, text_col).mapInArrow(_whole_sets(shingle), "c long, s binary").dropDuplicates(["c"]))
     both = left.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
 
     def verify(batches):
@@ -221,19 +221,22 @@ def _class(s: np.ndarray) -> int:
     return int(mix(s).sum().astype(np.int64)) if len(s) else 0
 
 
-def _whole_sets(batches):
-    for part in slices(batches, "text"):
-        s = shingle_sets(part.column("text"))
-        yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], names=["c", "s"])
+def _whole_sets(shingle: int):
+    def run(batches):
+        for part in slices(batches, "text"):
+            s = shingle_sets(part.column("text"), shingle)
+            yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], names=["c", "s"])
+
+    return run
 
 
-def _filters(orders, percent: int):
+def _filters(orders, percent: int, shingle: int):
     """(c, p1, p2): the prefixes under the other orders, as 32-bit hashes; equal ones may stand for other tokens, so the filter lets no link go."""
 
     def run(batches):
         by = Orders(*orders.value)
         for part in slices(batches, "text"):
-            s = [x for x in shingle_sets(part.column("text")) if len(x)]
+            s = [x for x in shingle_sets(part.column("text"), shingle) if len(x)]
             p = [[np.unique((by.prefix(x, k, prefix_size(len(x), percent)) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in s] for k in (1, 2)]
             yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in s], pa.int64()), *(pa.array(x, pa.binary()) for x in p)], names=["c", "p1", "p2"])
 
@@ -298,14 +301,14 @@ def _possible(percent: int) -> F.Column:
     return sizes & (most * (100 + percent) >= (na + nb) * percent)
 
 
-def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id (smallest id that links lead to, its own included).
 
     Null texts and texts without words have an empty set and stand alone. Repeated rows come back as often, in one component;
     ids are long numbers, and rows of a null id get the component's smallest id, or null alone. Other columns are not read."""
     spark = docs.sparkSession
-    orders = spark.sparkContext.broadcast((common_counters(docs, text_col, SKETCH_BITS), SKETCH_BITS))
-    rows = checkpointed(_described(docs, orders, id_col, text_col, percent))
+    orders = spark.sparkContext.broadcast((common_counters(docs, text_col, SKETCH_BITS, shingle), SKETCH_BITS))
+    rows = checkpointed(_described(docs, orders, id_col, text_col, percent, shingle))
     # A class is known by two hashes of its set; of its copies the one of the smallest id goes on. Only the ids of the others are looked up.
     full = rows.where("n > 0").withColumnRenamed(id_col, "id")
     copied = full.groupBy("c", "c2", "n").agg(F.min("id").alias("first"), F.count("*").alias("m")).where("m > 1").select("c", "first")
@@ -317,8 +320,8 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chain = checkpointed(_postings(lead).drop("i").repartitionByRange("token", "n", "c").sortWithinPartitions("token", "n", "c").mapInArrow(_neighbours(percent), "a long, b long").distinct())
     # Members between two of a candidate pair are of sizes between theirs, so every member of a candidate pair has such a neighbour.
     wanted = checkpointed(chain.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(lead.select("c", "id"), "c"))
-    filters = checkpointed(_texts(docs, wanted, id_col, text_col).mapInArrow(_filters(orders, percent), "c long, p1 binary, p2 binary").join(_side(wanted.select("c")), "c", "left_semi").dropDuplicates(["c"]))
-    verified = lambda pairs: _verified(pairs, filters, docs, wanted, id_col, text_col, percent)
+    filters = checkpointed(_texts(docs, wanted, id_col, text_col).mapInArrow(_filters(orders, percent, shingle), "c long, p1 binary, p2 binary").join(_side(wanted.select("c")), "c", "left_semi").dropDuplicates(["c"]))
+    verified = lambda pairs: _verified(pairs, filters, docs, wanted, id_col, text_col, percent, shingle)
     # Of their tokens those that several have, in one exchange by token.
     shared = _postings(lead.join(_side(wanted.select("c")), "c", "left_semi")).withColumn("m", F.count("*").over(Window.partitionBy("token")))
     shared = checkpointed(shared.where("m > 1").drop("m"))
@@ -341,9 +344,9 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(id_col, "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col(id_col)).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """The row of the smallest id of each component, with all columns; of several rows of that id one stays. Rows of a null id stay."""
-    found = ngram_jaccard(docs, id_col, text_col, percent).select(F.col(id_col).alias("_id"), "component_id")
+    found = ngram_jaccard(docs, id_col, text_col, percent, shingle).select(F.col(id_col).alias("_id"), "component_id")
     gone = checkpointed(found.where("_id IS NOT NULL AND _id <> component_id").select("_id").distinct())
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     kept = docs.join(side, docs[id_col] == gone["_id"], "left_anti")

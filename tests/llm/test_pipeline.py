@@ -30,6 +30,35 @@ def test_pipeline(spark):
     assert got == want
 
 
+def test_near_duplicates_of_five_words(spark, monkeypatch):
+    """Copies of similarity 0.80 to 0.85 go, and those below stay."""
+    import itertools
+    import random
+
+    from loomstone.llm import jaccard
+    from loomstone.llm.components import brute_components
+
+    monkeypatch.setattr(jaccard, "SKETCH_BITS", 12)
+    rng = random.Random(6)
+    texts = ["one two three", "one two three", "four five"]
+    for appended in (20, 22, 24, 26):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        texts += [" ".join(words), " ".join(words + [f"x{rng.randrange(10**6)}" for _ in range(appended)])]
+    for changed in range(2, 7):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(190)]
+        texts.append(" ".join(words))
+        for i in range(changed):
+            words[20 + 30 * i] = "other"
+        texts.append(" ".join(words))
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in map(str.split, texts)]
+    links = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    found = brute_components(list(range(len(sets))), links)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, rows, DATA).collect()}
+    assert kept == {i for i in found if found[i] == i}
+    assert not {4, 6, 8} & kept and 10 in kept
+
+
 def test_stages_keep_columns(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(40)
     for _, stage in corpus_pipeline.STAGES[:-1]:
