@@ -1,6 +1,7 @@
 """Secret scan: fixed patterns, and a battery of randomness tests with false-discovery control.
 
-A candidate is a run of letters, digits and + / _ - = of some length. Its encoding is inferred as the smallest alphabet of a secret
+A candidate is a run of letters, digits and + / _ - of some length, parted at = from the name it is given to. A run that mixes + / with _ -
+fits no alphabet; its parts at either pair of characters are candidates. Its encoding is inferred as the smallest alphabet of a secret
 that holds it: hex, base32, base64. Under the hypothesis that the characters were drawn evenly and independently from that
 alphabet, four tests are made: chi-squared of the alphabet's classes of characters, chi-squared of the single characters, the
 runs test (changes of class), and serial correlation of neighbours. Bonferroni joins them to one p-value per candidate.
@@ -33,6 +34,10 @@ CLEAR_FDR = 0.05
 MIN_BITS = 96.0
 #: Base-64 runs that can hold MIN_BITS; a digit among the letters is asked for, as every encoding of a secret has them.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: The values in a run, the characters that no alphabet has together, and the parts of a value at either pair of them.
+VALUE = re.compile(r"[^=]+")
+MIXED = re.compile(r"[+/]"), re.compile(r"[_-]")
+SIDES = re.compile(r"[^_-]+"), re.compile(r"[^+/]+")
 _CLASS = [-1] * 128
 for _i, _s in enumerate(("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "+/_-")):
     for _c in _s:
@@ -152,21 +157,37 @@ def find_base(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda f: (f[1], f[0]))
 
 
+def parts(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The stretches of a run that are tested: what = parts, and of those no alphabet holds, the parts at - _ and the parts at + /."""
+    found = []
+    for m in VALUE.finditer(text, a, b):
+        whole = m.span()
+        mixed = MIXED[0].search(text, *whole) and MIXED[1].search(text, *whole)
+        found += [x.span() for side in SIDES for x in side.finditer(text, *whole)] if mixed else [whole]
+    return sorted({(x, y) for x, y in found if y - x >= 16})
+
+
 def find_random(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Findings of the battery outside the base spans."""
     tried = []
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        while b > a and text[b - 1] == "=":
-            b -= 1
-        if b - a >= 16 and not any(x < b and a < y for _, x, y in base):
-            p, bits = judged(text[a:b])
-            if bits >= 0:
-                tried.append((p, b - a, bits, a, b))
+        for a, b in parts(text, *m.span()):
+            if not any(x < b and a < y for _, x, y in base):
+                p, bits = judged(text[a:b])
+                if bits >= 0:
+                    tried.append((p, b - a, bits, a, b))
     if not tried:
         return []
     clear = cleared([t[0] for t in tried], [t[1] for t in tried])
-    return [(3, t[3], t[4]) for t, c in zip(tried, clear, strict=True) if not c and t[2] >= MIN_BITS]
+    found: list[tuple[int, int, int]] = []
+    for (_, _, bits, a, b), c in zip(tried, clear, strict=True):
+        if c or bits < MIN_BITS:
+            continue
+        if found and a < found[-1][2]:  # parts of one run that overlap are one finding
+            found[-1] = 3, found[-1][1], max(b, found[-1][2])
+        else:
+            found.append((3, a, b))
+    return found
 
 
 def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -110,6 +110,24 @@ def test_secrets_randomness():
     assert secrets.masked(None) is None and secrets.masked("") == ""
 
 
+def test_secrets_inside_runs():
+    """Values behind a name and =, and parts of runs that no alphabet holds."""
+    rng = random.Random(7)
+    base62, base64 = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
+    made = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    for front, letters, n in (("AWS_SECRET_ACCESS_KEY=", base64, 40), ("?sig=", base62, 24), ("auth=ghp_", base62, 36), ("xyz_", base64, 60), ("/v1/my-hooks/", base62, 40), ("a=b=", base62, 32)):
+        hits = 0
+        for _ in range(100):
+            value = made(letters, n)
+            text = f"see {front}{value} there"
+            spans = secrets.find_secrets(text)[1]
+            hits += bool(spans) and all(k == 3 for k, _, _ in spans) and value not in secrets.masked(text)
+            assert all(b <= c for (_, _, b), (_, c, _) in zip(spans, spans[1:], strict=False))
+        assert hits >= 85, (front, hits)
+    clean = ["utm_campaign=spring_sale_2024_newsletter_for_readers", "/blog-posts/2024/the-article_title-number-1234/index", "name=ThisIsALongCamelCaseIdentifier2Name", "2024-01-01/log-file-name/part_2/of_the_long_run"]
+    assert all(not secrets.find_random(x, []) for x in clean)
+
+
 def test_redaction_keeps_columns(spark):
     rows = spark.createDataFrame([(1, "token=abcdefgh", 14, "a"), (2, None, None, "b"), (2, None, None, "b"), (3, "clean", 5, None)], "doc_id long, text string, n_chars long, spans string")
     got = secrets.redact_secrets(rows, length_col="n_chars")
