@@ -3,13 +3,15 @@
 Markup is stripped into lines, one for each block of the page. A line weighs what its text holds outside of links; lines of
 page furniture (by element, role, or a word of class or id) and, where the page names its article, lines outside it weigh
 nothing. The weights are summed over sliding windows of lines. Text begins where the sums surge above a level and
-ends where they dive back; between the two points every line counts, short ones too. The level follows the page's highest window.
+ends where they dive back; between the two points every line counts, short ones too. The level follows the page's median window
+and has a bound, so that no block of text, however long, hides others. Where an article is named, all its text is kept.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import statistics
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,10 +20,9 @@ from pyspark.sql import types as T
 from .common import slices
 
 WINDOW = 3
-#: Share of the highest window above which text surges, where no article is named.
+#: Share of the median window above which text surges, where no article is named, and the most characters that are asked of a window.
 SURGE = 0.12
-#: A stretch of text is kept if it weighs this share of the heaviest.
-KEEP = 0.2
+MOST = 80
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -181,10 +182,8 @@ def _between(rows: list[tuple[str, int, bool]], named: bool) -> str:
     weights = [len(t) if named and inside else 0 if named else w for t, w, inside in rows]
     if not any(weights):
         return ""
-    level = 0.0 if named else SURGE * max(sum(weights[i : i + WINDOW]) for i in range(len(weights)))
-    found = stretches(weights, level)
-    heaviest = max(sum(weights[a:b]) for a, b in found)
-    parts = [t for a, b in found if named or sum(weights[a:b]) >= KEEP * heaviest for t, _, inside in rows[a:b] if t and (inside or not named)]
+    level = 0.0 if named else min(MOST, SURGE * statistics.median(s for i in range(len(weights)) if (s := sum(weights[i : i + WINDOW]))))
+    parts = [t for a, b in stretches(weights, level) for t, _, inside in rows[a:b] if t and (inside or not named)]
     return "\n".join(parts)
 
 

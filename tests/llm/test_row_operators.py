@@ -150,6 +150,18 @@ def test_html(spark):
     assert [tuple(r) for r in html_text.extract_main_text(rows).where("page_id = 2").collect()] == [(2, None, "é", 1)]
 
 
+def test_html_with_long_blocks():
+    """Without a named article, long blocks hide no other paragraphs, however many or few there are."""
+    few = [f"Paragraph {i} " + "word " * 58 for i in range(20)]
+    for long in (["long " * 4000], ["long " * 4000] * 30):
+        page = [" ".join(x.split()) for x in few[:10] + long + few[10:]]
+        assert html_text.main_text("<body>" + "".join(f"<p>{x}</p>" for x in page) + "</body>").split("\n") == page
+    short = [f"One sentence of the text, number {i}." for i in range(6)]
+    page = "".join(f"<p>{x}</p>" for x in short) + "<div class=ad>Buy</div>" + "<p><a href=x>A link</a></p>" * 4 + f"<p>{'long ' * 4000}</p>"
+    assert html_text.main_text(f"<body>{page}</body>").split("\n") == [*short, ("long " * 4000).strip()]
+    assert html_text.main_text("<body><p>tiny</p></body>") == "tiny"
+
+
 def test_html_on_pages(spark):
     """The test pages have one article with h1 and p blocks."""
     import html
