@@ -41,7 +41,7 @@ def k_hop(nodes: DataFrame, edges: DataFrame, node, k: int, direction: str = "bo
     return nodes.join(front, "id", "left_semi")
 
 
-def shortest_path(nodes: DataFrame, edges: DataFrame, start, end, direction: str = "both", most: int = 64) -> DataFrame:
+def shortest_path(nodes: DataFrame, edges: DataFrame, start, end, direction: str = "both") -> DataFrame:
     """One row (length, path): the smallest of the shortest paths in the order of its ids; nodes between need not exist. No row if there is no path."""
     spark = nodes.sparkSession
     schema = f"length long, path array<{dict(nodes.dtypes)['id']}>"
@@ -50,7 +50,7 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, start, end, direction: str
     steps = _steps(edges, direction).distinct()
     front = spark.createDataFrame([(start, [start])], f"id {dict(nodes.dtypes)['id']}, path array<{dict(nodes.dtypes)['id']}>")
     seen = front.select("id")
-    for _ in range(most):
+    while True:
         front = cut_lineage(
             steps.join(front, steps["a"] == front["id"]).select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path")).join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path"))
         )
@@ -58,9 +58,8 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, start, end, direction: str
         if not hit.isEmpty():
             return hit.select(F.size("path").cast("long").alias("length"), "path")
         if front.isEmpty():
-            break
+            return spark.createDataFrame([], schema)
         seen = cut_lineage(seen.unionByName(front.select("id")))
-    return spark.createDataFrame([], schema)
 
 
 def delete_node(nodes: DataFrame, edges: DataFrame, node) -> tuple[DataFrame, DataFrame]:

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.session import cut_lineage
 
 
-def tree(df: DataFrame, root, id_col: str = "id", parent_col: str = "parent_id", most: int = 100) -> DataFrame:
+def tree(df: DataFrame, root, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
     """(id, depth) of the subtree below a root, its own included; a cycle ends where an id would come again."""
     links = df.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"))
     front = links.where(F.col("id") == root).select("id", F.lit(0).cast("long").alias("depth"))
     out = front
-    for depth in range(1, most + 1):
+    for depth in itertools.count(1):
         front = cut_lineage(links.join(front.select(F.col("id").alias("parent")), "parent", "left_semi").select("id").join(out, "id", "left_anti").select("id", F.lit(depth).cast("long").alias("depth")))
         if front.isEmpty():
-            break
+            return out
         out = cut_lineage(out.unionByName(front))
-    return out
 
 
 def subtree_total(df: DataFrame, root, value_col: str, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
