@@ -275,15 +275,22 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_hit: int = WINDOW, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, in which fewer than min_hit words are hit. Null and empty texts stay."""
     blocks = _blocks(benchmark, item_col, item_text)
-    out = docs
+    # Each block's scan adds the hit words to those of the blocks before it, in a last column of their numbers.
+    names = docs.columns
+    extra = "_hit" + "_" * max(map(len, names))
+    out = docs.withColumn(extra, F.lit(None).cast("binary")) if blocks else docs
     for block in blocks:
 
         def run(batches, block=block):
             for part in slices(batches, text_col):
                 shard = Shard(part.column(text_col), block.value)
                 hit, _ = shard.hits()
-                total = np.concatenate([[0], np.cumsum(hit)])
-                yield part.filter(pa.array(total[shard.first[1:]] - total[shard.first[:-1]] < min_hit))
+                now = [np.flatnonzero(hit[a:b]).astype(np.int32) for a, b in zip(shard.first[:-1], shard.first[1:], strict=True)]
+                before = part.column(extra).to_pylist()
+                now = [x if y is None else np.union1d(x, np.frombuffer(y, np.int32)) for x, y in zip(now, before, strict=True)]
+                found = pa.array([x.tobytes() if len(x) else None for x in now], pa.binary())
+                rows = pa.RecordBatch.from_arrays([*part.columns[:-1], found], names=part.schema.names)
+                yield rows.filter(pa.array([len(x) < min_hit for x in now], pa.bool_()))
 
         out = out.mapInArrow(run, out.schema)
-    return out
+    return out.select(*names)

@@ -73,6 +73,16 @@ def test_decontamination(spark):
         decontam.BLOCK_BYTES = old
 
 
+def test_decontamination_over_blocks(spark, monkeypatch):
+    """Words hit by items of several blocks count together."""
+    d = spark.createDataFrame([(1, "a b c d e x f g h i j", 5), (2, "a b c d e x a b c", 5), (3, None, 5)], "doc_id long, text string, n long").coalesce(1)
+    b = spark.createDataFrame([(1, "a b c d e"), (2, "f g h i j")], "item_id long, text string").coalesce(1)
+    for size in (decontam.BLOCK_BYTES, 5):
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", size)
+        got = decontam.decontaminate(d, b)
+        assert got.columns == d.columns and sorted(r["doc_id"] for r in got.collect()) == [2, 3]
+
+
 def test_decontamination_on_tables(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
