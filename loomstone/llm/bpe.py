@@ -2,12 +2,14 @@
 
 The merges are compiled into a deterministic automaton over tokens by successive merge gadgets. It begins as one state that
 every byte token leads back to. The gadget of a merge (a, b) -> c gives every state with a path a, b an arc c past it, and takes
-from the state behind a the arc b. The state behind c starts with the arcs that the state behind b had just then; a state has an arc c
-where it had an arc a just then. As each state is the state behind one token, a gadget needs only three notes: whose arcs are
-taken over at what time, and which arc goes. An arc is looked up in the notes when first used and then stays in the table. The token
-sequences that the automaton accepts are those that BPE makes, so each text has one path.
-
-Encoding runs over a pre-split word and keeps, for each place, the last token of the only path to it; decoding emits the labels of the arcs.
+from the state behind a the arc b. The state behind c starts with the arcs that the state behind b has just then; a state has an arc c
+where it has an arc a just then. So the row of a state is the row of its token's right part as it was when the token was made, and the
+column of an arc is that of its token's left part; a gadget takes its arc from all rows and columns that were taken over after it. States with equal rows
+and arcs with equal columns are one class each, and the automaton is a table of bits over (class of the state, class of the arc).
+The token sequences that it accepts are those that BPE makes, so each text has one path.
+
+Encoding runs over the distinct pre-split words of a slice of texts at once: a trie of labels lists the tokens that end at each place, and
+the table says which of them goes on from the state behind the place where it begins. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -15,20 +17,18 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import release, slices
+from .common import mix, release, slices, text_bytes
 
-#: Fixed value: the pre-tokenisation pattern of byte-level BPE.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries that the tables of a worker hold at most; a fuller one is begun anew.
-CACHE_WORDS, CACHE_PREFIXES, CACHE_ARCS = 100_000, 100_000, 120_000
-#: Words of more bytes are encoded without being kept.
-CACHE_LENGTH = 48
+#: Bytes of text that are encoded at once; words of more bytes than LEVELS are walked one place at a time.
+ENCODE_BYTES, LEVELS = 1 << 20, 256
+LETTER, NUMBER, SPACE, OTHER = range(4)
 
 
 def byte_letters() -> dict[str, int]:
@@ -38,163 +38,318 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Kept(dict):
-    """What a function makes of short words, kept."""
-
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, word: str):
-        entry = self.make(word)
-        if len(word) <= CACHE_LENGTH:
-            self[word] = entry
-        return entry
+def kinds() -> np.ndarray:
+    """Letter, number, white space or other, for each code point."""
+    import regex
+
+    points = "".join(map(chr, [*range(0xD800), *[0] * 0x800, *range(0xE000, 0x110000)]))
+    out = np.full(0x110000, OTHER, dtype=np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for m in regex.finditer(pattern, points):
+            out[m.start() : m.end()] = kind
+    return out
+
+
+def word_starts(points: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the words of byte-level BPE's pre-tokenisation begin. points: the code points of all texts; first: where texts begin, and the end.
+
+    A word is a contraction ('s 't 're 've 'm 'll 'd), or a run of letters, of numbers or of others, each with one blank before it;
+    a run of white space leaves its last character to what follows it."""
+    n = len(points)
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[first] = True
+    begin = edge[:-1].copy()
+    begin[1:] |= kind[1:] != kind[:-1]
+    space = kind == SPACE
+    last = np.flatnonzero(space[:-1] & ~space[1:] & ~edge[1:-1])
+    begin[last] = True
+    begin[last[points[last] == 0x20] + 1] = False
+    quote = np.flatnonzero((points[:-1] == 0x27) & begin[:-1] & (kind[1:] == LETTER) & ~edge[1:-1])
+    if len(quote):
+        one = points[quote + 1]
+        after = np.minimum(quote + 2, n - 1)
+        two = np.where(edge[quote + 2], 0, points[after])
+        single = np.isin(one, [ord(c) for c in "stmd"])
+        double = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        quote, size = quote[single | double], np.where(single, 2, 3)[single | double]
+        begin[quote + 1] = False
+        end = quote + size
+        begin[end[end < n]] = True
+    return np.flatnonzero(begin)
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of ranges, one range after another."""
+    total = int(sizes.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    skip = np.cumsum(sizes) - sizes
+    return np.repeat(starts - skip, sizes) + np.arange(total)
 
 
 class Automaton:
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    """The compiled tables; spec is the text of a vocabulary file. Only arrays are sent to executors."""
+
+    def __init__(self, spec: str):
+        spec = json.loads(spec)
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         vocab = {raw(k): v for k, v in spec["model"]["vocab"].items()}
-        self.label: dict[int, bytes] = {v: k for k, v in vocab.items()}
+        label = {v: k for k, v in vocab.items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.label |= {v: k.encode() for k, v in self.special.items()}
-        self._special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._split = regex.compile(SPLIT).findall
-        self._merged: dict[tuple[int, int], int] = {}
-        self._parts: dict[int, tuple[int, int]] = {}
-        self._born: dict[int, int] = {vocab[bytes([b])]: 0 for b in range(256) if bytes([b]) in vocab}
-        self._arcs: dict[tuple[int, int], bool] = {}
+        born, parts, merged = {vocab[bytes([b])]: 0 for b in range(256)}, {}, {}
         for time, pair in enumerate(spec["model"]["merges"], 1):
             a, b = (vocab[raw(x)] for x in (pair if isinstance(pair, list) else pair.split(" ")))
-            c = vocab[self.label[a] + self.label[b]]
-            if c not in self._born and a in self._born and b in self._born and self.has_arc(a, b, time - 1):
-                self._born[c], self._parts[c] = time, (a, b)
-            self._merged.setdefault((a, b), time)
-        self._tokens = {self.label[c]: c for c in self._born}
-        self._longest = max(map(len, self._tokens))
-        self._arcs.clear()
-        self._width = {c: len(self.label[c]) for c in self._born}
-        self._tails = dict.fromkeys((x[i:] for x in self._tokens for i in range(1, len(x))), -1) | self._tokens
-        self._last = len(spec["model"]["merges"])
-        self._behind: dict[bytes, int] = {}
-        self._kept = Kept(self._word)
-
-    def has_arc(self, u: int, v: int, time: int) -> bool:
-        """Whether the state behind u has an arc v after the gadgets up to a time."""
+            c = vocab[label[a] + label[b]]
+            if c in born:
+                raise ValueError("two merges make one token")
+            if a in born and b in born and self._has_arc(a, b, time - 1, born, parts, merged):
+                born[c], parts[c] = time, (a, b)
+            merged.setdefault((a, b), time)
+        self._classes(born, parts, merged)
+        label |= {v: k.encode() for k, v in self.special.items()}
+        size = max(label) + 1
+        self.width = np.array([len(label.get(i, b"")) for i in range(size)], dtype=np.int64)
+        self.labels = np.frombuffer(b"".join(label.get(i, b"") for i in range(size)), dtype=np.uint8)
+        self._trie({c: label[c] for c in born})
+        self.kinds = kinds()
+
+    @staticmethod
+    def _has_arc(u: int, v: int, time: int, born: dict, parts: dict, merged: dict) -> bool:
+        """Whether the state behind u has an arc v after the gadgets up to a time, by the rows and columns taken over."""
         while True:
-            gone = self._merged.get((u, v))
+            gone = merged.get((u, v))
             if gone is not None and gone <= time:
                 return False
-            born_u, born_v = self._born[u], self._born[v]
+            born_u, born_v = born[u], born[v]
             if not born_u and not born_v:
                 return True
             if born_v > born_u:
-                v, time = self._parts[v][0], born_v
+                v, time = parts[v][0], born_v
             elif born_u > born_v:
-                u, time = self._parts[u][1], born_u - 1
+                u, time = parts[u][1], born_u - 1
             else:
-                v, u = self._parts[u]
+                v, u = parts[u]
                 time = born_u - 1
 
-    def encode_word(self, word: bytes) -> list[int]:
-        """The labels of the automaton's only path that spells the word. What is known of its beginnings is taken over."""
-        tails, arcs, behind, end = self._tails, self._arcs, self._behind, len(word)
-        known = end
-        while known and word[:known] not in behind:
-            known -= 1
-        for i in range(known + 1, end + 1):
-            found = []
-            j = i - 1
-            while j >= 0 and (t := tails.get(word[j:i])) is not None:
-                if t >= 0:
-                    found.append((j, t))
-                j -= 1
-            while True:
-                j, t = found.pop()
-                if not j:
-                    break
-                u = behind[word[:j]]
-                ok = arcs.get((u, t))
-                if ok is None:
-                    ok = arcs[u, t] = self.has_arc(u, t, self._last)
-                if ok:
-                    break
-            behind[word[:i]] = t
-        out, width = [], self._width
-        while end:
-            t = behind[word[:end]]
-            out.append(t)
-            end -= width[t]
-        out.reverse()
-        return out
-
-    def encode_long(self, word: bytes) -> list[int]:
-        """As encode_word, in space that follows the word's length."""
-        tokens, arcs, longest, end = self._tokens, self._arcs, self._longest, len(word)
-        behind = [-1] * (end + 1)
-        for i in range(1, end + 1):
-            for j in range(max(0, i - longest), i):
-                t = tokens.get(word[j:i])
-                if t is None:
-                    continue
-                if j and (ok := arcs.get((behind[j], t))) is None:
-                    ok = arcs[behind[j], t] = self.has_arc(behind[j], t, self._last)
-                if not j or ok:
-                    behind[i] = t
-                    break
-        out = []
-        while end:
-            out.append(behind[end])
-            end -= len(self.label[behind[end]])
-        return out[::-1]
+    def _classes(self, born: dict, parts: dict, merged: dict) -> None:
+        """Classes of rows and columns, and the table of the arcs that gadgets have taken."""
+        from_a: dict[int, list[int]] = {}
+        from_b: dict[int, list[int]] = {}
+        for (a, b), time in merged.items():
+            from_a.setdefault(a, []).append(time)
+            from_b.setdefault(b, []).append(time)
+
+        def group(gadgets: dict[int, list[int]], side: int, before) -> tuple[np.ndarray, dict[int, tuple[list[int], list[int]]], int]:
+            # A row is known by (token, number of its gadgets) along the chain of tokens it was taken over from.
+            number: dict[tuple, int] = {}
+            of = np.zeros(max(born) + 1, dtype=np.int32)
+            for token in born:
+                chain, at, limit = [], token, 1 << 60
+                while True:
+                    if (times := gadgets.get(at)) and (n := before(times, limit)):
+                        chain.append((at, n))
+                    if at not in parts:
+                        break
+                    at, limit = parts[at][side], born[at]
+                of[token] = number.setdefault(tuple(chain), len(number))
+            holders: dict[int, tuple[list[int], list[int]]] = {}
+            for chain, i in number.items():
+                for token, n in chain:
+                    ids, counts = holders.setdefault(token, ([], []))
+                    ids.append(i)
+                    counts.append(n)
+            return of, {t: (np.array(i), np.array(n)) for t, (i, n) in holders.items()}, len(number)
+
+        # A row is taken over before its token's own gadget takes effect, a column behind it.
+        self.row_of, rows, n_rows = group(from_a, 1, bisect_left)
+        self.column_of, columns, n_columns = group(from_b, 0, bisect_right)
+        gone = np.zeros((n_rows, n_columns), dtype=bool)
+        rank_a, rank_b = ({t: {time: k for k, time in enumerate(times)} for t, times in g.items()} for g in (from_a, from_b))
+        for (a, b), time in merged.items():
+            if a in rows and b in columns:
+                (r, n), (c, m) = rows[a], columns[b]
+                r, c = r[n > rank_a[a][time]], c[m > rank_b[b][time]]
+                gone[r[:, None], c] = True
+        self.gone = np.packbits(gone, axis=1, bitorder="little")
+
+    def _trie(self, tokens: dict[int, bytes]) -> None:
+        """The edges (node, byte, child) of the labels' trie and the token of each node; nodes with children come first."""
+        child: dict[tuple[int, int], int] = {}
+        token, inner = [-1], set()
+        for t, word in tokens.items():
+            node = 0
+            for byte in word:
+                nxt = child.get((node, byte))
+                if nxt is None:
+                    nxt = child[node, byte] = len(token)
+                    token.append(-1)
+                    inner.add(node)
+                node = nxt
+            token[node] = t
+        order = np.array(sorted(range(len(token)), key=lambda i: i not in inner))
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(len(order))
+        edges = np.array([(a, byte, b) for (a, byte), b in child.items()], dtype=np.int64)
+        self.edge = place[edges[:, 0]].astype(np.int64) * 256 + edges[:, 1], place[edges[:, 2]]
+        self.token_at, self.inner = np.array(token, dtype=np.int32)[order], len(inner)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def _ready(self) -> None:
+        """Tables that are made anew from the others."""
+        if "_child" not in self.__dict__:
+            self._child = np.zeros(self.inner * 256, dtype=np.int32)
+            self._child[self.edge[0]] = self.edge[1]
+            self._label_at = np.cumsum(self.width) - self.width
+            self._written = [str(i) for i in range(len(self.width))]
+
+    def _found(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, token) of all tokens that lie in words; ends: the end of the word of each byte."""
+        at = np.arange(len(raw))
+        node, found = np.zeros(len(raw), dtype=np.int64), []
+        while len(at):
+            depth = len(found)
+            node = self._child[node * 256 + raw[at + depth]].astype(np.int64)
+            seen = node > 0
+            at, node = at[seen], node[seen]
+            token = self.token_at[node]
+            hit = token >= 0
+            found.append((at[hit], at[hit] + depth + 1, token[hit]))
+            on = (node < self.inner) & (at + depth + 1 < ends[at])
+            at, node = at[on], node[on]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def encode_words(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after another, and the number of ids of each; raw holds the words' bytes without gaps."""
+        self._ready()
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(starts)), sizes)
+        a, b, token = self._found(raw, (starts + sizes)[owner])
+        level = b - starts[owner[a]]
+        long = sizes[owner[a]] > LEVELS
+        last = np.zeros(len(raw) + 1, dtype=np.int32)  # the token of the path to each place, by the place's last byte
+        rows, columns, flat, stride = self.row_of, self.column_of, self.gone.ravel(), self.gone.shape[1]
+        order = np.argsort(np.where(long, LEVELS + 1, level).astype(np.int16), kind="stable")
+        cut = np.searchsorted(np.where(long, LEVELS + 1, level)[order], np.arange(1, LEVELS + 3))
+        a, b, token = a[order], b[order], token[order]
+        inside = a > starts[owner[a]]
+        column = columns[token].astype(np.int64)
+        byte, bit = column >> 3, (column & 7).astype(np.uint8)
+        for x, y in zip(cut[:-2].tolist(), cut[1:-1].tolist(), strict=True):
+            if x == y:
+                continue
+            state = rows[last[a[x:y] - 1]].astype(np.int64)
+            ok = ~inside[x:y] | (flat[state * stride + byte[x:y]] >> bit[x:y] & 1 == 0)
+            last[b[x:y][ok] - 1] = token[x:y][ok]
+        x = int(cut[-2])
+        if x < len(a):
+            by_end = x + np.lexsort((a[x:], b[x:]))
+            line, bits, path = (rows.astype(np.int64) * stride).tolist(), memoryview(flat), {}
+            for i, j, t, at, shift, more in zip(*(v[by_end].tolist() for v in (a, b, token, byte, bit, inside)), strict=True):
+                if not more or not bits[line[path[i]] + at] >> shift & 1:
+                    path[j] = t
+            last[np.fromiter(path.keys(), np.int64, len(path)) - 1] = np.fromiter(path.values(), np.int32, len(path))
+        # Back from the words' ends.
+        word, at, out = np.arange(len(starts)), starts + sizes, []
+        while len(word):
+            t = last[at - 1]
+            out.append((word, t))
+            at = at - self.width[t]
+            on = at > starts[word]
+            word, at = word[on], at[on]
+        count = np.zeros(len(starts), dtype=np.int64)
+        for w, _ in out:
+            count[w] += 1
+        end = np.cumsum(count)
+        ids = np.zeros(int(end[-1]), dtype=np.int32)
+        for k, (w, t) in enumerate(out):
+            ids[end[w] - 1 - k] = t
+        return ids, count
+
+    def _plain(self, raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and the number of ids of each text. raw: the UTF-8 of all texts; first: where texts begin, and the end."""
+        n = len(first) - 1
+        if not len(raw):
+            return np.zeros(0, np.int32), np.zeros(n, np.int64)
+        lead = np.flatnonzero((raw & 0xC0) != 0x80)
+        points = raw if len(lead) == len(raw) else np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+        starts = lead[word_starts(points, self.kinds[points], np.searchsorted(lead, first))]
+        del lead, points
+        sizes = np.diff(np.append(starts, len(raw)))
+        place = np.arange(len(raw)) - np.repeat(starts, sizes)
+        power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64)]))
+        hashes = np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * power[place], starts)
+        del place
+        _, one, which = np.unique(mix(hashes + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), return_index=True, return_inverse=True)
+        words = raw[spread(starts[one], sizes[one])]
+        ids, count = self.encode_words(words, np.cumsum(sizes[one]) - sizes[one], sizes[one])
+        each = count[which]
+        out = ids[spread((np.cumsum(count) - count)[which], each)]
+        total = np.concatenate([[0], np.cumsum(each)])
+        per = np.diff(total[np.searchsorted(starts, first)])
+        if not np.array_equal(self.emitted(out), raw):  # two words of one hash: each word by itself
+            got = [self.encode_words(raw[a : a + s], np.zeros(1, np.int64), np.array([s])) for a, s in zip(starts.tolist(), sizes.tolist(), strict=True)]
+            out, each = np.concatenate([g[0] for g in got]), np.array([len(g[0]) for g in got])
+            per = np.diff(np.concatenate([[0], np.cumsum(each)])[np.searchsorted(starts, first)])
+        return out, per
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and the number of ids of each text; the strings of special tokens become those tokens."""
+        raw, first = text_bytes(texts)
+        marks = sorted(self.special, key=len, reverse=True)
+        whole = raw.tobytes()
+        if not any(s.encode() in whole for s in marks):
+            return self._plain(raw, first)
+        import re
+
+        found = [(m.start(), m.end(), self.special[m[0].decode()]) for m in re.finditer(b"|".join(re.escape(s.encode()) for s in marks), whole)]
+        text = np.searchsorted(first, [a for a, *_ in found], side="right") - 1
+        found = [(f, t) for f, t in zip(found, text.tolist(), strict=True) if f[1] <= first[t + 1]]
+        # Between the marks are texts of their own.
+        cuts = np.array(sorted([*first.tolist(), *(x for (a, b, _), _ in found for x in (a, b))]))
+        ids, per = self._plain(raw, cuts)
+        owner = np.searchsorted(first, cuts[:-1], side="right") - 1
+        marked = {(a, b): i for (a, b, i), _ in found}
+        out, sizes, at = [], np.zeros(len(first) - 1, np.int64), 0
+        for a, b, n, t in zip(cuts[:-1].tolist(), cuts[1:].tolist(), per.tolist(), owner.tolist(), strict=True):
+            part = np.array([marked[a, b]], np.int32) if (a, b) in marked else ids[at : at + n]
+            at += n
+            out.append(part)
+            if len(part):
+                sizes[t] += len(part)
+        return np.concatenate(out), sizes
+
+    def emitted(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes that ids stand for."""
+        self._ready()
+        return self.labels[spread(self._label_at[ids], self.width[ids])]
 
     def decode(self, ids) -> str:
-        return b"".join([self.label[i] for i in ids]).decode("utf-8", "replace")
-
-    def _word(self, word: str) -> tuple[str, bytes]:
-        raw = word.encode("utf-8")
-        if len(self._behind) > CACHE_PREFIXES:
-            self._behind.clear()
-        if len(self._arcs) > CACHE_ARCS:
-            self._arcs.clear()
-        ids = self.encode_word(raw) if len(raw) <= CACHE_LENGTH else self.encode_long(raw)
-        return ",".join(map(str, ids)), b"".join([self.label[i] for i in ids])
-
-    def _entries(self, text: str) -> list[tuple[str, bytes]]:
-        if len(self._kept) > CACHE_WORDS:
-            self._kept.clear()
-        if not any(s in text for s in self.special):
-            return list(map(self._kept.__getitem__, self._split(text)))
-        out = []
-        for part in self._special_split.split(text):
-            i = self.special.get(part)
-            out += [(str(i), self.label[i])] if i is not None else map(self._kept.__getitem__, self._split(part))
-        return out
-
-    def forget(self) -> None:
-        """Empty the tables that grow."""
-        for table in (self._kept, self._behind, self._arcs):
-            table.clear()
-        release()
+        return self.emitted(np.asarray(ids, dtype=np.int64)).tobytes().decode("utf-8", "replace")
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for s, _ in self._entries(text or "") for i in s.split(",")]
-
-    def summary(self, text: str | None) -> tuple[int, str, bytes]:
-        """The number of ids, the ids joined by commas and the bytes that decoding them emits."""
-        if not text:
-            return 0, "", b""
-        entries = self._entries(text)
-        ids = ",".join([e[0] for e in entries])
-        return ids.count(",") + 1, ids, b"".join([e[1] for e in entries])
+        return self.encode_texts(pa.array([text or ""]))[0].tolist()
+
+    def summaries(self, texts: pa.Array) -> list[tuple[int, str, bytes]]:
+        """For each text: the number of ids, the ids joined by commas and the bytes that decoding them emits."""
+        ids, per = self.encode_texts(texts)
+        raw = self.emitted(ids).tobytes()
+        width = np.concatenate([[0], np.cumsum(self.width[ids])])
+        end = np.cumsum(per)
+        cuts = width[np.concatenate([[0], end])].tolist()
+        written, out = self._written, []
+        for k, (a, b) in enumerate(zip((end - per).tolist(), end.tolist(), strict=True)):
+            out.append((b - a, ",".join([written[i] for i in ids[a:b].tolist()]), raw[cuts[k] : cuts[k + 1]]))
+        return out
 
 
 @functools.lru_cache(maxsize=2)
 def automaton(path: str) -> Automaton:
-    return Automaton(path)
+    with open(path, encoding="utf-8") as f:
+        return Automaton(f.read())
 
 
 def default_vocabulary() -> str:
@@ -203,30 +358,36 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """Add the ids of each text. Null or empty texts get an empty list; a column named as the result is replaced.
+def _sent(df: DataFrame, vocabulary: str):
+    """The compiled tables, of a size that the vocabulary sets; the file need lie on the driver's machine only."""
+    return df.sparkSession.sparkContext.broadcast(automaton(vocabulary))
 
-    The vocabulary file must lie at the same path on all machines."""
+
+def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: str = "ids") -> DataFrame:
+    """Add the ids of each text. Null or empty texts get an empty list; a column named as the result is replaced, the text's own too."""
     keep = [c for c in docs.columns if c != out]
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(out, T.ArrayType(T.IntegerType()))])
+    tables = _sent(docs, vocabulary)
 
     def run(batches):
-        auto = automaton(vocabulary)
-        for part in slices(batches, text_col):
-            ids = [auto.encode(t) for t in part.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(ids, pa.list_(pa.int32()))], names=[*keep, out])
-        auto.forget()
+        auto = tables.value
+        for part in slices(batches, text_col, ENCODE_BYTES):
+            ids, per = auto.encode_texts(part.column(text_col))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists], names=[*keep, out])
+        release()
 
-    return docs.mapInArrow(run, schema) if text_col != out else bpe_encode(docs.withColumnRenamed(text_col, "_text"), vocabulary, "_text", out).drop("_text")
+    return docs.mapInArrow(run, schema)
 
 
 def bpe_decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the text that a list of ids stands for. Null lists give null; bytes that are no UTF-8 become U+FFFD."""
     keep = [c for c in df.columns if c != out]
-    schema = T.StructType([*df.select(*keep).schema.fields, T.StructField(out, T.StringType())])
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.StringType())])
+    tables = _sent(df, vocabulary)
 
     def run(batches):
-        auto = automaton(vocabulary)
+        auto = tables.value
         for part in batches:
             texts = [None if x is None else auto.decode(x) for x in part.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, out])
@@ -237,16 +398,15 @@ def bpe_decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out: str =
 def bpe_digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode each text and return digests of both: id, n_tokens, ids_sha256, decoded_sha256. Rows are not grouped: repeated rows come back as often."""
     schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    tables = _sent(docs, vocabulary)
 
     def run(batches):
-        auto = automaton(vocabulary)
-        for part in slices(batches, 1):
-            rows = []
-            for t in part.column(1).to_pylist():
-                n, ids, raw = auto.summary(t)
-                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest()))
-            n, ids, raw = zip(*rows, strict=True)
+        auto = tables.value
+        for part in slices(batches, 1, ENCODE_BYTES):
+            n, ids, raw = zip(*auto.summaries(part.column(1)), strict=True)
+            ids = [hashlib.sha256(x.encode()).hexdigest() for x in ids]
+            raw = [hashlib.sha256(x.decode("utf-8", "replace").encode()).hexdigest() for x in raw]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(raw)], names=schema.names)
-        auto.forget()
+        release()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

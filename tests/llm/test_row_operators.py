@@ -5,6 +5,8 @@ import random
 import re
 import string
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -26,14 +28,14 @@ def library():
     return Tokenizer.from_file(bpe.default_vocabulary())
 
 
-TEXTS = ["", "a", " ", "a<|endoftext|>b", "<|endoftext|><|endoftext|>", "<|endoftext", "é  日本語 🤷‍♀️ I'll don't we've", " " * 300 + "x", "aaaaaaaaaaaa" * 40, "\x00\x01\x7f\u200b\u0301", "naïve\n\n\tx\r\n 123 4567 ½ ٣", "x" * 3000]
+TEXTS = ["", "a", " ", "a<|endoftext|>b", "<|endoftext|><|endoftext|>", "<|endoftext", "é  日本語 🤷‍♀️ I'll don't we've", " " * 300 + "x", "aaaaaaaaaaaa" * 40, "\x00\x01\x7f\u200b\u0301", "naïve\n\n\tx\r\n 123 4567 ½ ٣", "x" * 3000, "ab" * 400, "日本語" * 300, "it's's 's \n're ''ll o'lly", " \t x  \u3000y\x85z "]
 
 
 @pytest.mark.parametrize("text", TEXTS)
 def test_bpe_is_the_library(auto, library, text):
     ids = library.encode(text, add_special_tokens=False).ids
     assert auto.encode(text) == ids
-    n, joined, raw = auto.summary(text)
+    n, joined, raw = auto.summaries(pa.array([text]))[0]
     assert (n, joined) == (len(ids), ",".join(map(str, ids)))
     assert raw.decode("utf-8", "replace") == library.decode(ids, skip_special_tokens=False) == auto.decode(ids)
 
@@ -55,6 +57,44 @@ def _library(kind):
     return _kept.setdefault("t", kind.from_file(bpe.default_vocabulary()))
 
 
+def test_bpe_texts_together(auto, library):
+    """Texts of one slice do not touch each other, whatever stands at their ends."""
+    rng = random.Random(4)
+    pool = [*"'s 't 're 've 'm 'll 'd ' a b 1 ½ é 日本 ! the ing A l re ſ aaaa ٣".split(), " ", "  ", "\n", "\t", "\u200b", "\x1c", "\x85", "\u3000", "<|endoftext|>", " the"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(25))) for _ in range(3000)]
+    ids, per = auto.encode_texts(pa.array(texts))
+    end = np.cumsum(per)
+    for text, a, b in zip(texts, end - per, end, strict=True):
+        assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_table(auto):
+    """The compiled table holds just the arcs that stepping through the gadgets leaves, on a small vocabulary."""
+    import json
+
+    letters = {b: c for c, b in bpe.byte_letters().items()}
+    made = [("a", "b"), ("b", "c"), ("a", "a"), ("ab", "ab"), ("aa", "a"), ("c", "ab"), ("b", "a"), ("ba", "bc"), ("abab", "abab")]
+    vocab = {letters[b]: b for b in range(256)} | {x + y: 256 + i for i, (x, y) in enumerate(made)}
+    small = bpe.Automaton(json.dumps({"model": {"vocab": vocab, "merges": [f"{x} {y}" for x, y in made]}, "added_tokens": []}))
+    size = len(vocab)
+    arc = np.zeros((size, size), dtype=bool)
+    live = list(range(256))
+    arc[:256, :256] = True
+    for i, (x, y) in enumerate(made):
+        a, b, c = vocab[x], vocab[y], 256 + i
+        if not arc[a, b]:
+            continue
+        arc[c] = arc[b]
+        arc[a, b] = False
+        arc[:, c] = arc[:, a]
+        live.append(c)
+    columns = small.column_of.astype(int)
+    for u in live:
+        for v in live:
+            gone = small.gone[small.row_of[u], columns[v] >> 3] >> (columns[v] & 7) & 1
+            assert arc[u, v] == (not gone), (u, v)
+
+
 def test_bpe_on_documents(spark, library):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = {r["doc_id"]: r for r in bpe.bpe_digest(docs, bpe.default_vocabulary()).collect()}
