@@ -44,7 +44,33 @@ def _thinned(links: DataFrame) -> DataFrame:
     return links.select("a", "b").mapInArrow(run, LINKS)
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def spanning(links: DataFrame) -> DataFrame:
+    """Of the links (a, b) those that join what the ones before them have not joined: in one task if they are few, else in blocks of bounded size."""
+
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(y, y)
+            return x
+
+        for batch in batches:
+            if len(parent) > TASK_LINKS:
+                parent.clear()
+            keep = []
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = root(x), root(y)
+                keep.append(x != y)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    few = links.count() <= TASK_LINKS
+    return (links.repartition(1) if few else links).mapInArrow(run, LINKS)
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that links lead to, for every node with a link to another.
 
     links: long columns a and b, in any direction, repeated as may be; links of a node to itself and nulls are left out. Up to TASK_LINKS
@@ -63,7 +89,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
         return now.repartition(1).mapInArrow(run, "node long, component long")
     state = None
-    for _ in range(rounds):
+    while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -83,8 +109,3 @@ def brute_components(nodes: list[int], links: list[tuple[int, int]]) -> dict[int
     """For tests and small tables."""
     a, b = forest([x for x, _ in links], [y for _, y in links]) if links else ([], [])
     return {n: n for n in nodes} | dict(zip(a, b, strict=True))
-
-
-def group_ranges(keys: np.ndarray) -> np.ndarray:
-    """Where runs of equal keys begin, with the end."""
-    return np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)

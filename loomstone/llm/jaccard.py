@@ -5,12 +5,13 @@ p = n - ceil(t n) + 1 of each, whatever global order the tokens stand in; so und
 token, with tokens that many documents have put last. Those are found with a counting sketch: a fixed number of counters, each the number
 of (document, token) pairs of its tokens; a counter well above the mean marks its tokens. The orders need not know true frequencies to be right, only to be alike everywhere.
 
-1. Documents of equal sets are one class; only classes go on.
-2. Under the first order, classes are put together by prefix token. Neighbours by size within a token are candidates.
-3. Candidates must share a prefix token under each of the other orders too; what is left is verified on whole sets.
+1. Documents of equal sets are one class; only a class's first document goes on, as its node.
+2. Under the first order, nodes are put together by prefix token. Neighbours by size within a token are candidates.
+3. Candidates must share a prefix token under each of the other orders too. What is left must not differ in more buckets of an odd sketch (the parity of the
+   number of tokens in each bucket) than linked sets can differ in tokens; then it is verified on whole sets.
 4. Verified links make components. Then, within each token, members outside the token's largest component meet the members of all
    other components, and are filtered and verified alike. So no link between different texts is missed, and a large group
-   of near copies, which is one component by then, costs no pairs.
+   of near copies, which is one component by then, costs no pairs. The first time, links that would only close a circle are left to this step.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, lut, mix, slices, text_bytes, words_of
-from .components import components
+from .common import checkpointed, lut, mix, release, slices, text_bytes, words_of
+from .components import components, spanning
 
 #: Fixed value: words are runs of bytes other than white space.
 WORD = lut([b for b in range(256) if b != 0x20 and not 0x09 <= b <= 0x0D])
@@ -36,7 +37,8 @@ PERCENT = 85
 SKETCH_BITS, SKETCH_ROWS = 23, 128
 #: A token goes last if its counter is this far above the mean, in pairs and in standard deviations.
 COMMON_PAIRS, COMMON_DEVIATIONS = 8, 2.0
-SALTS = 64
+#: Bits of an odd sketch at most, as a power of two.
+ODD_BITS = 14
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Ids that are sent to all executors at most.
 BROADCAST_IDS = 2_000_000
@@ -97,8 +99,10 @@ class Orders:
 
 
 def common_counters(docs: DataFrame, text_col: str, bits: int, shingle: int = SHINGLE) -> bytes:
-    """A bit for each counter: whether its tokens go last. Counters are summed in rows of fixed size, first within salts, so no task gathers more than a share."""
+    """A bit for each counter: whether its tokens go last. Counters are summed in rows of fixed size, first within as many salts as the root of the number of partitions, so no task gathers more than that many of a row."""
     width = (1 << bits) // SKETCH_ROWS
+    texts = docs.select(text_col)
+    salts = max(1, math.isqrt(texts.rdd.getNumPartitions()))
 
     def count(batches):
         from pyspark import TaskContext
@@ -109,32 +113,32 @@ def common_counters(docs: DataFrame, text_col: str, bits: int, shingle: int = SH
             if sets:
                 at, n = np.unique(counter_of(np.concatenate(sets), bits), return_counts=True)
                 counts[at] += n.astype(np.uint32)
-        salt = TaskContext.get().partitionId() % SALTS
+        salt = TaskContext.get().partitionId() % salts
         for i in range(SKETCH_ROWS):
             row = counts[i * width : (i + 1) * width]
             if row.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([salt]), pa.array([zlib.compress(row.astype(np.uint8 if row.max() < 256 else np.uint32).tobytes(), 1)])], names=["i", "salt", "row"])
+        del counts
+        release()
 
-    def total(pdf):
+    def total(table):
         out = np.zeros(width, dtype=np.int64)
-        for row in pdf["row"]:
-            row = zlib.decompress(row)
-            out += np.frombuffer(row, {width: np.uint8, 4 * width: np.uint32, 8 * width: np.int64}[len(row)]).astype(np.int64)
+        for row in table["row"]:
+            row = zlib.decompress(row.as_py())
+            out += np.frombuffer(row, {width: np.uint8, 4 * width: np.uint32, 8 * width: np.int64}[len(row)])
         return out
 
-    def summed(pdf):
-        import pandas as pd
+    def summed(table):
+        row = total(table)
+        kind = next(k for k in (np.uint8, np.uint32, np.int64) if row.max() <= np.iinfo(k).max)
+        return pa.table({"i": table["i"][:1], "row": pa.array([zlib.compress(row.astype(kind).tobytes(), 1)])})
 
-        return pd.DataFrame({"i": pdf["i"][:1], "row": [zlib.compress(total(pdf).tobytes(), 1)]})
+    def ended(table):
+        row = total(table)
+        return pa.table({"i": table["i"][:1], "row": pa.array([zlib.compress(row.tobytes(), 1)]), "n": pa.array([int(row.sum())])})
 
-    def ended(pdf):
-        import pandas as pd
-
-        row = total(pdf)
-        return pd.DataFrame({"i": pdf["i"][:1], "row": [zlib.compress(row.astype(np.int64).tobytes(), 1)], "n": [int(row.sum())]})
-
-    part = docs.select(text_col).mapInArrow(count, "i long, salt long, row binary").groupBy("i", "salt").applyInPandas(summed, "i long, row binary")
-    rows = checkpointed(part.groupBy("i").applyInPandas(ended, "i long, row binary, n long"))
+    part = texts.mapInArrow(count, "i long, salt long, row binary").groupBy("i", "salt").applyInArrow(summed, "i long, row binary")
+    rows = checkpointed(part.groupBy("i").applyInArrow(ended, "i long, row binary, n long"))
     pairs = rows.agg(F.sum("n")).first()[0] or 0
     mean = pairs / (1 << bits)
     level = mean + max(COMMON_PAIRS, COMMON_DEVIATIONS * math.sqrt(mean))
@@ -149,29 +153,29 @@ def common_counters(docs: DataFrame, text_col: str, bits: int, shingle: int = SH
     return b"".join(got.get(i, bytes(width // 8)) for i in range(SKETCH_ROWS))
 
 
+def _sums(s: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set."""
+    return tuple(int(mix(x).sum().astype(np.int64)) for x in (s, s ^ np.uint64(0xD1B54A32D192ED03))) if len(s) else (0, 0)
+
+
 def _described(docs: DataFrame, orders, id_col: str, text_col: str, percent: int, shingle: int) -> DataFrame:
     """For each row: id, n, the class of its set (two hashes), and the prefix under the first order."""
-    schema = T.StructType([docs.schema[id_col], *T._parse_datatype_string("n long, c long, c2 long, p0 binary").fields])
+    schema = T.StructType([T.StructField("id", T.LongType()), *T._parse_datatype_string("n long, c long, c2 long, p0 binary").fields])
 
     def run(batches):
         by = Orders(*orders.value)
-        salt = np.uint64(0xD1B54A32D192ED03)
         for part in slices(batches, 1):
-            cols: list[list] = [[] for _ in range(4)]
-            for s in shingle_sets(part.column(1), shingle):
-                size = prefix_size(len(s), percent)
-                one, two = (int(x) for x in (mix(s).sum(), mix(s ^ salt).sum())) if len(s) else (0, 0)
-                row = len(s), one, two, by.prefix(s, 0, size).tobytes() if size else b""
-                for c, v in zip(cols, row, strict=True):
-                    c.append(v)
-            wide = [pa.array(np.array(c, dtype=np.uint64).astype(np.int64)) for c in cols[1:3]]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cols[0], pa.int64()), *wide, pa.array(cols[3], pa.binary())], names=schema.names)
+            sets = shingle_sets(part.column(1), shingle)
+            c, c2 = zip(*map(_sums, sets), strict=True)
+            p0 = [by.prefix(s, 0, prefix_size(len(s), percent)).tobytes() if len(s) else b"" for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(c, pa.int64()), pa.array(c2, pa.int64()), pa.array(p0, pa.binary())], names=schema.names)
+        release()
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, schema)
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """(token, c, n, i) for each prefix token under the first order, i its place there from 0."""
+def _postings(nodes: DataFrame) -> DataFrame:
+    """(token, node, n, i) for each prefix token under the first order, i its place there from 0."""
 
     def run(batches):
         for batch in batches:
@@ -180,30 +184,52 @@ def _postings(classes: DataFrame) -> DataFrame:
                 tokens = [np.frombuffer(p, np.int64) for p in part.column("p0").to_pylist()]
                 size = [len(t) for t in tokens]
                 if sum(size):
-                    c, n = (np.repeat(part.column(k).to_numpy(), size) for k in ("c", "n"))
+                    node, n = (np.repeat(part.column(k).to_numpy(), size) for k in ("node", "n"))
                     i = np.concatenate([np.arange(k, dtype=np.int32) for k in size])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(c), pa.array(n.astype(np.int32)), pa.array(i)], names=["token", "c", "n", "i"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(node), pa.array(n.astype(np.int32)), pa.array(i)], names=["token", "node", "n", "i"])
+
+    return nodes.select("node", "n", "p0").mapInArrow(run, "token long, node long, n int, i int")
+
 
-    return classes.select("c", "n", "p0").mapInArrow(run, "token long, c long, n int, i int")
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """The parity of the number of tokens in each bucket, as bits; more buckets for larger sets."""
+    bits = min(ODD_BITS, max(6, int(len(s)).bit_length()))
+    bucket = mix(s ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64((1 << bits) - 1)
+    return np.packbits((np.bincount(bucket.astype(np.int64), minlength=1 << bits) & 1).astype(bool), bitorder="little")
 
 
-def _verified(pairs: DataFrame, filters: DataFrame, docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, percent: int, shingle: int) -> DataFrame:
-    """The pairs (a, b) that pass the filters of the other orders and then the test on whole sets, which are made from the texts of what is left."""
+def odd_buckets(a: np.ndarray, b: np.ndarray) -> int:
+    """In how many buckets two sketches differ, after folding the larger: never more than the tokens in which the sets differ."""
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _verified(pairs: DataFrame, filters: DataFrame, texts, percent: int, shingle: int, once: bool = False) -> DataFrame:
+    """The pairs (a, b) that pass the filters of the other orders and then the test on whole sets, which are made from the texts of what is left. once: of what passes the filters, pairs that close a circle may be left out."""
     for k in "ab":
-        pairs = pairs.join(filters.select(F.col("c").alias(k), F.col("p1").alias(k + "1"), F.col("p2").alias(k + "2")), k)
+        pairs = pairs.join(filters.select(F.col("node").alias(k), *(F.col(x).alias(k + x) for x in ("n", "p1", "p2", "odd"))), k)
 
     def meet(batches):
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in ("a1", "b1", "a2", "b2")]
+            na, nb = (batch.column(k).to_numpy().astype(np.int64) for k in ("an", "bn"))
+            most = ((100 - percent) * (na + nb) // (100 + percent)).tolist()
+            cols = [batch.column(k).to_pylist() for k in ("ap1", "bp1", "ap2", "bp2", "aodd", "bodd")]
             keep = []
-            for a1, b1, a2, b2 in zip(*cols, strict=True):
-                keep.append(all(len(np.intersect1d(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), assume_unique=True)) for x, y in ((a1, b1), (a2, b2))))
+            for limit, a1, b1, a2, b2, x, y in zip(most, *cols, strict=True):
+                keep.append(
+                    all(len(np.intersect1d(np.frombuffer(p, np.uint16), np.frombuffer(q, np.uint16), assume_unique=True)) for p, q in ((a1, b1), (a2, b2)))
+                    and odd_buckets(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= limit
+                )
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = checkpointed(pairs.select("a", "b", "a1", "b1", "a2", "b2").mapInArrow(meet, "a long, b long"))
-    asked = checkpointed(left.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(ids, "c"))
-    sets = checkpointed(_texts(docs, asked, id_col, text_col).mapInArrow(_whole_sets(shingle), "c long, s binary").dropDuplicates(["c"]))
-    both = left.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
+    left = checkpointed(pairs.select("a", "b", *(k + x for k in "ab" for x in ("n", "p1", "p2", "odd"))).mapInArrow(meet, "a long, b long"))
+    if once:
+        left = checkpointed(spanning(left))
+    sets = checkpointed(texts(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), _whole_sets(shingle), "node long, s binary"))
+    both = left.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
 
     def verify(batches):
         for batch in batches:
@@ -213,84 +239,121 @@ def _verified(pairs: DataFrame, filters: DataFrame, docs: DataFrame, ids: DataFr
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     return both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
 
 
-def _class(s: np.ndarray) -> int:
-    return int(mix(s).sum().astype(np.int64)) if len(s) else 0
+def _own(part: pa.RecordBatch, shingle: int) -> list[tuple[int, np.ndarray]]:
+    """(node, set) of the texts that are the nodes' own; an id that stands in several rows brings other texts."""
+    keys = zip(*(part.column(k).to_pylist() for k in ("node", "c", "c2")), strict=True)
+    return [(node, s) for (node, *of), s in zip(keys, shingle_sets(part.column("text"), shingle), strict=True) if _sums(s) == tuple(of)]
 
 
 def _whole_sets(shingle: int):
     def run(batches):
         for part in slices(batches, "text"):
-            s = shingle_sets(part.column("text"), shingle)
-            yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], names=["c", "s"])
+            found = _own(part, shingle)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["node", "s"])
+        release()
 
     return run
 
 
 def _filters(orders, percent: int, shingle: int):
-    """(c, p1, p2): the prefixes under the other orders, as 32-bit hashes; equal ones may stand for other tokens, so the filter lets no link go."""
+    """(node, n, p1, p2, odd): the prefixes under the other orders, as 16-bit hashes (equal ones may stand for other tokens, so the filter lets no link go), and the odd sketch."""
 
     def run(batches):
         by = Orders(*orders.value)
         for part in slices(batches, "text"):
-            s = [x for x in shingle_sets(part.column("text"), shingle) if len(x)]
-            p = [[np.unique((by.prefix(x, k, prefix_size(len(x), percent)) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in s] for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in s], pa.int64()), *(pa.array(x, pa.binary()) for x in p)], names=["c", "p1", "p2"])
+            found = _own(part, shingle)
+            p = [[np.unique((by.prefix(s, k, prefix_size(len(s), percent)) >> np.uint64(48)).astype(np.uint16)).tobytes() for _, s in found] for k in (1, 2)]
+            odd = [odd_sketch(s).tobytes() for _, s in found]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int32()), *(pa.array(x, pa.binary()) for x in (*p, odd))], names=["node", "n", "p1", "p2", "odd"])
+        release()
 
     return run
 
 
-def _texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The texts of some documents; ids is a checkpointed table."""
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(_side(ids.select("id")), "id", "left_semi").select("text")
-
-
 def _side(ids: DataFrame) -> DataFrame:
-    """A checkpointed table of ids for a semi or anti join: it goes to all executors if its ids are few, else both sides are shuffled."""
+    """A checkpointed table of ids as the other side of a join: it goes to all executors if its rows are few, else both sides are shuffled."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _neighbours(percent: int, seed: int = 0):
-    """Candidates within a token: neighbours by size, and neighbours in an order that is another one for each token and seed, so that members of a
-    large group meet many others. Where components k are known, neighbours of one component are left out. The ends of a partition come as pairs with themselves."""
+def _pairs(t: np.ndarray, c: np.ndarray, n: np.ndarray, g: np.ndarray, percent: int, seed: int) -> np.ndarray:
+    """Candidates within a token: neighbours by size, and neighbours in an order that is another one for each token and seed, so that members of a large group meet many others. Neighbours of one g are left out."""
+    deal = np.lexsort((mix(c.astype(np.uint64) ^ mix(t.astype(np.uint64) + np.uint64(seed))), t))
+    found = []
+    for order in (np.arange(len(t)), deal):
+        x, y = order[:-1], order[1:]
+        ok = (t[x] == t[y]) & (g[x] != g[y]) & _near(n[x], n[y], percent)
+        found.append(np.stack([np.minimum(c[x[ok]], c[y[ok]]), np.maximum(c[x[ok]], c[y[ok]])]))
+    return np.unique(np.concatenate(found, axis=1), axis=1)
+
+
+def _near(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(n, m).astype(np.int64) >= percent * np.maximum(n, m).astype(np.int64)
+
+
+def _met(percent: int):
+    """Of postings in order: candidate pairs (a, b), and the postings (token, a, n, i) that have a neighbour of a size near enough. Members between two of a
+    candidate pair are of sizes between theirs, so every member of a candidate pair has one. A partition's first and last posting stay, as their neighbours may lie in others."""
+
+    def run(batches):
+        held, linked = None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(k).to_numpy() for k in ("token", "node", "n", "i")]
+            if held is not None:
+                cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
+            t, c, n, _ = cols
+            near = (t[1:] == t[:-1]) & _near(n[1:], n[:-1], percent)
+            keep = np.concatenate([[linked], near])
+            keep[:-1] |= near
+            pairs = _pairs(t, c, n, c, percent, 0)
+            none = pa.nulls(pairs.shape[1], pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(pairs[0]), pa.array(pairs[1]), none.cast(pa.int32()), none.cast(pa.int32())], names=["token", "a", "b", "n", "i"])
+            yield shared([x[:-1][keep[:-1]] for x in cols])
+            held, linked = [x[-1:] for x in cols], bool(keep[-1])
+        if held is not None:
+            yield shared(held)
+
+    def shared(cols):
+        t, c, n, i = map(pa.array, cols)
+        return pa.RecordBatch.from_arrays([t, c, pa.nulls(len(t), pa.int64()), n, i], names=["token", "a", "b", "n", "i"])
+
+    return run
+
+
+def _again(percent: int):
+    """Candidates of open members, whose components k are known."""
 
     def run(batches):
-        before = ends = None
+        before = None
         for batch in batches:
-            t, c, n = (batch.column(k).to_numpy() for k in ("token", "c", "n"))
-            if not len(t):
+            cols = [batch.column(k).to_numpy() for k in ("token", "node", "n", "k")]
+            if not batch.num_rows:
                 continue
-            g = batch.column("k").to_numpy() if "k" in batch.schema.names else c
-            ends = [c[0], c[-1]] if ends is None else [ends[0], c[-1]]
             if before is not None:
-                t, c, n, g = (np.concatenate([[x], y]) for x, y in zip(before, (t, c, n, g), strict=True))
-            before = t[-1], c[-1], n[-1], g[-1]
-            deal = np.lexsort((mix(c.astype(np.uint64) ^ mix(t.astype(np.uint64) + np.uint64(seed))), t))
-            found = []
-            for order in (np.arange(len(t)), deal):
-                x, y = order[:-1], order[1:]
-                ok = (t[x] == t[y]) & (g[x] != g[y]) & (100 * np.minimum(n[x], n[y]).astype(np.int64) >= percent * np.maximum(n[x], n[y]).astype(np.int64))
-                found.append(np.stack([np.minimum(c[x[ok]], c[y[ok]]), np.maximum(c[x[ok]], c[y[ok]])]))
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-            if pairs.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-        if ends:
-            yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64())] * 2, names=["a", "b"])
+                cols = [np.concatenate([x, y]) for x, y in zip(before, cols, strict=True)]
+            before = [x[-1:] for x in cols]
+            t, c, n, g = cols
+            pairs = _pairs(t, c, n, g, percent, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     return run
 
 
 def _open(shared: DataFrame, joined: DataFrame) -> DataFrame:
-    """Members (token, c, n, i, k, main) of the tokens that hold several components; k is a member's component, main that of the token's components that is largest over all."""
-    size = joined.join(joined.groupBy("component").agg(F.count("*").alias("size")), "component").select(F.col("node").alias("c"), F.col("component").alias("k"), "size")
-    size = checkpointed(size.unionByName(joined.groupBy(F.col("component").alias("c")).agg(F.min("component").alias("k"), F.count("*").alias("size"))))
-    member = shared.join(_side(size), "c", "left").select("token", "c", "n", "i", F.coalesce("k", "c").alias("k"), F.coalesce("size", F.lit(0)).alias("size"))
+    """Members (token, node, n, i, k, main) of the tokens that hold several components; k is a member's component, main that of the token's components that is largest over all."""
+    size = checkpointed(joined.groupBy("component").agg(F.count("*").alias("size")))
+    of = joined.join(_side(size), "component").select("node", F.col("component").alias("k"), "size")
+    of = checkpointed(of.unionByName(size.select(F.col("component").alias("node"), F.col("component").alias("k"), "size")))
+    member = shared.join(_side(of), "node", "left").select("token", "node", "n", "i", F.coalesce("k", "node").alias("k"), F.coalesce("size", F.lit(0)).alias("size"))
     token = Window.partitionBy("token")
     seen = member.withColumn("low", F.min("k").over(token)).withColumn("high", F.max("k").over(token)).withColumn("main", F.max(F.struct("size", "k")).over(token)["k"])
-    return seen.where("low <> high").select("token", "c", "n", "i", "k", "main")
+    return seen.where("low <> high").select("token", "node", "n", "i", "k", "main")
 
 
 def _possible(percent: int) -> F.Column:
@@ -308,40 +371,50 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ids are long numbers, and rows of a null id get the component's smallest id, or null alone. Other columns are not read."""
     spark = docs.sparkSession
     orders = spark.sparkContext.broadcast((common_counters(docs, text_col, SKETCH_BITS, shingle), SKETCH_BITS))
-    rows = checkpointed(_described(docs, orders, id_col, text_col, percent, shingle))
-    # A class is known by two hashes of its set; of its copies the one of the smallest id goes on. Only the ids of the others are looked up.
-    full = rows.where("n > 0").withColumnRenamed(id_col, "id")
-    copied = full.groupBy("c", "c2", "n").agg(F.min("id").alias("first"), F.count("*").alias("m")).where("m > 1").select("c", "first")
-    gone = checkpointed(full.select("id", "c").join(copied, "c").where("id <> first").select("id").distinct())
-    lead = full.select("id", "c", "n", "p0").join(_side(gone), "id", "left_anti")
-    if not full.groupBy("id").count().where("count > 1").isEmpty():
-        lead = lead.dropDuplicates(["c"])  # ids that stand in several rows
-    # Neighbours by size within a token. A range partition may part a token: its first and last members are kept, and what is parted is found in the second step.
-    chain = checkpointed(_postings(lead).drop("i").repartitionByRange("token", "n", "c").sortWithinPartitions("token", "n", "c").mapInArrow(_neighbours(percent), "a long, b long").distinct())
-    # Members between two of a candidate pair are of sizes between theirs, so every member of a candidate pair has such a neighbour.
-    wanted = checkpointed(chain.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(lead.select("c", "id"), "c"))
-    filters = checkpointed(_texts(docs, wanted, id_col, text_col).mapInArrow(_filters(orders, percent, shingle), "c long, p1 binary, p2 binary").join(_side(wanted.select("c")), "c", "left_semi").dropDuplicates(["c"]))
-    verified = lambda pairs: _verified(pairs, filters, docs, wanted, id_col, text_col, percent, shingle)
-    # Of their tokens those that several have, in one exchange by token.
-    shared = _postings(lead.join(_side(wanted.select("c")), "c", "left_semi")).withColumn("m", F.count("*").over(Window.partitionBy("token")))
-    shared = checkpointed(shared.where("m > 1").drop("m"))
-
-    links = checkpointed(verified(chain.where("a <> b")))
+    # The rows lie in the shared folder, so the numbers given to them stay.
+    rows = checkpointed(_described(docs, orders, id_col, text_col, percent, shingle)).withColumn("row", F.monotonically_increasing_id())
+    full = rows.where("n > 0")
+    unique = full.where("id IS NULL").isEmpty() and full.groupBy("id").count().where("count > 1").isEmpty()
+    full = full.withColumn("node", F.col("id" if unique else "row"))
+    # A class is known by two hashes of its set and its size; of its copies the first goes on. Only the others are looked up.
+    copied = checkpointed(full.groupBy("c", "c2", "n").agg(F.min("node").alias("first"), F.min("id").alias("least"), F.count("*").alias("m")).where("m > 1").drop("m"))
+    gone = checkpointed(full.select("node", "c", "c2", "n").join(_side(copied), ["c", "c2", "n"]).where("node <> first").select("node"))
+    lead = full.select("node", "id", "c", "c2", "n", "p0").join(_side(gone), "node", "left_anti")
+    # Neighbours by size within a token. A range partition may part a token; what is parted is found in the second step.
+    met = checkpointed(_postings(lead).repartitionByRange("token", "n", "node").sortWithinPartitions("token", "n", "node").mapInArrow(_met(percent), "token long, a long, b long, n int, i int"))
+    shared = met.where("b IS NULL").select("token", F.col("a").alias("node"), "n", "i")
+    wanted = checkpointed(shared.select("node").distinct().join(lead.select("node", "id", "c", "c2"), "node"))
+
+    def texts(nodes: DataFrame | None, make, schema: str) -> DataFrame:
+        """What make does of the nodes' texts, a row for each node."""
+        asked = wanted if nodes is None else checkpointed(wanted.join(nodes, "node"))
+        given = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
+        found = given.join(_side(asked), F.col("_id").eqNullSafe(F.col("id"))).select("node", "c", "c2", "text").mapInArrow(make, schema)
+        return found if unique else found.dropDuplicates(["node"])
+
+    filters = checkpointed(texts(None, _filters(orders, percent, shingle), "node long, n int, p1 binary, p2 binary, odd binary"))
+    verified = lambda pairs, once=False: _verified(pairs, filters, texts, percent, shingle, once)
+
+    links = checkpointed(verified(met.where("b IS NOT NULL").select("a", "b").distinct(), True))
     # Members that no link has joined to most of their group yet meet others once more, before all that is left is tried.
     open_ = checkpointed(_open(shared, checkpointed(components(links))))
-    again = open_.repartitionByRange("token", "n", "c").sortWithinPartitions("token", "n", "c").mapInArrow(_neighbours(percent, 1), "a long, b long").where("a <> b").distinct()
-    links = checkpointed(links.union(verified(again)))
-    open_ = checkpointed(_open(open_.select("token", "c", "n", "i"), checkpointed(components(links))))
-    others = open_.where("k <> main").select("token", "main", F.col("c").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("k").alias("ka"))
-    every = open_.select("token", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("k").alias("kb"))
+    again = open_.repartitionByRange("token", "n", "node").sortWithinPartitions("token", "n", "node").mapInArrow(_again(percent), "a long, b long").distinct()
+    links = checkpointed(links.union(verified(again, True)))
+    open_ = checkpointed(_open(open_.select("token", "node", "n", "i"), checkpointed(components(links))))
+    others = open_.where("k <> main").select("token", "main", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("k").alias("ka"))
+    every = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("k").alias("kb"))
     cross = others.join(every, (others["token"] == every["token"]) & (F.col("ka") != F.col("kb")) & ((F.col("kb") == F.col("main")) | (F.col("a") < F.col("b"))) & _possible(percent))
     tried = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.union(verified(tried))
-    final = components(links)
-    label = full.groupBy("c").agg(F.min("id").alias("id")).join(final.withColumnRenamed("node", "c"), "c", "left").select("c", "id", F.coalesce("component", "c").alias("k"))
-    ids = label.join(label.groupBy("k").agg(F.min("id").alias("component_id")), "k").select("c", "component_id")
-    out = rows.select(id_col, F.col("n").alias("n_shingles"), "c").join(ids, "c", "left")
-    return out.select(id_col, "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col(id_col)).alias("component_id"))
+    final = checkpointed(components(links.union(verified(tried))))
+    out = full.select("row", "id", "node", "n", "c", "c2").join(_side(copied), ["c", "c2", "n"], "left").select("row", "id", "n", F.coalesce("first", "node").alias("node"), F.coalesce("least", "id").alias("least"))
+    out = out.join(_side(final), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if unique:
+        found = out.select("id", "n", F.col("component").alias("component_id"))
+    else:
+        smallest = checkpointed(out.groupBy("component").agg(F.min("least").alias("component_id")))
+        found = out.join(_side(smallest), "component").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
+    empty = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
+    return found.unionByName(empty).select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:

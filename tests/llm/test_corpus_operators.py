@@ -159,6 +159,21 @@ def test_jaccard_edges(spark):
     assert sorted(r["doc_id"] for r in jaccard.keep_one(rows).collect()) == [1, 3]
 
 
+def test_jaccard_of_null_and_repeated_ids(spark):
+    rows = spark.createDataFrame([(1, "a b c d e"), (1, "v w x y z"), (None, "v w x y z"), (None, "q r s t u"), (None, None)], "doc_id long, text string")
+    got = sorted((tuple(r) for r in jaccard.ngram_jaccard(rows).collect()), key=str)
+    assert got == sorted([(1, 2, 1), (1, 2, 1), (None, 2, 1), (None, 2, None), (None, 0, None)], key=str)
+
+
+def test_odd_sketch():
+    """It never differs in more buckets than sets do in tokens, whatever their sizes."""
+    rng = np.random.default_rng(5)
+    for n, m, shared in ((40, 50, 30), (500, 3000, 400), (60000, 20, 10), (1, 1, 1), (700, 700, 650)):
+        tokens = rng.integers(0, 1 << 63, n + m - shared, dtype=np.uint64)
+        a, b = tokens[:n], tokens[n - shared :]
+        assert jaccard.odd_buckets(jaccard.odd_sketch(a), jaccard.odd_sketch(b)) <= n + m - 2 * shared
+
+
 def test_jaccard_of_few_words(spark):
     """A slice may hold fewer words than a shingle."""
     for n in range(7):
