@@ -16,12 +16,13 @@ of (document, token) pairs of its tokens; a counter well above the mean marks it
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +41,8 @@ COMMON_PAIRS, COMMON_DEVIATIONS = 8, 2.0
 #: Bits of an odd sketch at most, as a power of two.
 ODD_BITS = 14
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: Share of the members outside their token's main component that a round must leave at most for another to follow.
+STALLED = 0.95
 #: Ids that are sent to all executors at most.
 BROADCAST_IDS = 2_000_000
 
@@ -280,9 +283,9 @@ def _side(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _pairs(t: np.ndarray, c: np.ndarray, n: np.ndarray, g: np.ndarray, percent: int, seed: int) -> np.ndarray:
-    """Candidates within a token: neighbours by size, and neighbours in an order that is another one for each token and seed, so that members of a large group meet many others. Neighbours of one g are left out."""
-    deal = np.lexsort((mix(c.astype(np.uint64) ^ mix(t.astype(np.uint64) + np.uint64(seed))), t))
+def _pairs(t: np.ndarray, c: np.ndarray, n: np.ndarray, g: np.ndarray, percent: int, order: np.ndarray) -> np.ndarray:
+    """Candidates within a token: neighbours by size, and neighbours in an order of their own; tokens of one order number have the same. Neighbours of one g are left out."""
+    deal = np.lexsort((mix(c.astype(np.uint64) ^ mix(order.astype(np.uint64))), t))
     found = []
     for order in (np.arange(len(t)), deal):
         x, y = order[:-1], order[1:]
@@ -311,7 +314,7 @@ def _met(percent: int):
             near = (t[1:] == t[:-1]) & _near(n[1:], n[:-1], percent)
             keep = np.concatenate([[linked], near])
             keep[:-1] |= near
-            pairs = _pairs(t, c, n, c, percent, 0)
+            pairs = _pairs(t, c, n, c, percent, t & 1)  # two orders, so that members of a large group do not meet others under each token
             none = pa.nulls(pairs.shape[1], pa.int64())
             yield pa.RecordBatch.from_arrays([none, pa.array(pairs[0]), pa.array(pairs[1]), none.cast(pa.int32()), none.cast(pa.int32())], names=["token", "a", "b", "n", "i"])
             yield shared([x[:-1][keep[:-1]] for x in cols])
@@ -326,8 +329,8 @@ def _met(percent: int):
     return run
 
 
-def _again(percent: int):
-    """Candidates of open members, whose components k are known."""
+def _again(percent: int, seed: int):
+    """Candidates of open members, whose components k are known, in another order for each token and seed."""
 
     def run(batches):
         before = None
@@ -339,7 +342,7 @@ def _again(percent: int):
                 cols = [np.concatenate([x, y]) for x, y in zip(before, cols, strict=True)]
             before = [x[-1:] for x in cols]
             t, c, n, g = cols
-            pairs = _pairs(t, c, n, g, percent, 1)
+            pairs = _pairs(t, c, n, g, percent, t + seed)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     return run
@@ -351,9 +354,10 @@ def _open(shared: DataFrame, joined: DataFrame) -> DataFrame:
     of = joined.join(_side(size), "component").select("node", F.col("component").alias("k"), "size")
     of = checkpointed(of.unionByName(size.select(F.col("component").alias("node"), F.col("component").alias("k"), "size")))
     member = shared.join(_side(of), "node", "left").select("token", "node", "n", "i", F.coalesce("k", "node").alias("k"), F.coalesce("size", F.lit(0)).alias("size"))
-    token = Window.partitionBy("token")
-    seen = member.withColumn("low", F.min("k").over(token)).withColumn("high", F.max("k").over(token)).withColumn("main", F.max(F.struct("size", "k")).over(token)["k"])
-    return seen.where("low <> high").select("token", "node", "n", "i", "k", "main")
+    member = checkpointed(member)
+    # Summed before the shuffle, and joined back: a token of many members can be split.
+    several = member.groupBy("token").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.max(F.struct("size", "k")).alias("most")).where("low <> high")
+    return member.join(several.select("token", F.col("most.k").alias("main")), "token").select("token", "node", "n", "i", "k", "main")
 
 
 def _possible(percent: int) -> F.Column:
@@ -396,11 +400,15 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     verified = lambda pairs, once=False: _verified(pairs, filters, texts, percent, shingle, once)
 
     links = checkpointed(verified(met.where("b IS NOT NULL").select("a", "b").distinct(), True))
-    # Members that no link has joined to most of their group yet meet others once more, before all that is left is tried.
-    open_ = checkpointed(_open(shared, checkpointed(components(links))))
-    again = open_.repartitionByRange("token", "n", "node").sortWithinPartitions("token", "n", "node").mapInArrow(_again(percent), "a long, b long").distinct()
-    links = checkpointed(links.union(verified(again, True)))
-    open_ = checkpointed(_open(open_.select("token", "node", "n", "i"), checkpointed(components(links))))
+    # Members that no link has joined to most of their group yet meet others again, as long as that joins many; then all that is left is tried.
+    open_, outside = shared, None
+    for seed in itertools.count(1):
+        open_ = checkpointed(_open(open_.select("token", "node", "n", "i"), checkpointed(components(links))))
+        before, outside = outside, open_.where("k <> main").select("node").distinct().count()
+        if not outside or before is not None and outside > before * STALLED:
+            break
+        again = open_.repartitionByRange("token", "n", "node").sortWithinPartitions("token", "n", "node").mapInArrow(_again(percent, seed), "a long, b long").distinct()
+        links = checkpointed(links.union(verified(again)))
     others = open_.where("k <> main").select("token", "main", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("k").alias("ka"))
     every = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("k").alias("kb"))
     cross = others.join(every, (others["token"] == every["token"]) & (F.col("ka") != F.col("kb")) & ((F.col("kb") == F.col("main")) | (F.col("a") < F.col("b"))) & _possible(percent))
