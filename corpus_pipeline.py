@@ -2,11 +2,13 @@
 
 toxicity drops documents that score as toxic; near_duplicates leaves one document of each group (five-word shingles, similarity 0.8); decontamination drops documents
 that hold a benchmark window; secrets masks what it finds; tokens encodes the texts that are left.
+
+Null and empty texts pass every stage (their lists of ids are empty); rows that repeat an id are one document to near_duplicates and rows of their own to the others;
+rows of a null id stay. Columns besides those of documents go through all stages but the last, which returns its own.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from loomstone.llm import bpe, decontam, jaccard, secrets
 from loomstone.llm import toxicity as toxic
+from loomstone.llm.common import shared_folder
 
 #: Near duplicates share this many hundredths of their shingles of so many words; op5 has its own.
 NEAR_SHINGLE, NEAR_PERCENT = 5, 80
@@ -46,10 +49,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the last stage returns. What a stage returns is written to the shared folder and read again for the next."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-pipeline-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:  # what the stage before it has written is read for the last time
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return docs

@@ -87,13 +87,23 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray) -> tup
     return starts, ends, hashes, np.searchsorted(starts, offsets)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all machines share; where the session has none, one of this machine, if all of Spark runs on it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="loomstone-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through reliable storage that all executors share; a folder is set only where the session has none."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomstone-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

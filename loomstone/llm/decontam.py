@@ -2,10 +2,12 @@
 
 A shard is a slice of documents. Its words become ids in the benchmark's vocabulary; a stretch of words that is shorter than
 every window, or has a word no item has, can't hold a match and is left out. Over the rest a suffix array is sorted, as deep as the longest item.
-Every suffix of every item is then binary-searched in it, word by word: the interval after a window's length lists the window's
-occurrences, the last interval that isn't empty the longest verbatim matches and where they are. Shards are independent and documents are never shuffled.
+Every item suffix that the shard's words can spell as far as a window is binary-searched in it, word by word. Where the interval narrows at a depth of a window or more, the suffixes that
+drop out have their longest verbatim match with the item there; those that go on to the left belong to the match before them. So each match is found once, at
+its whole length and with its place, however documents fall into shards. Words inside matches are hit. Shards are independent and documents are never shuffled.
 
-The benchmark is sent to all executors in blocks of at most BLOCK_BYTES of text, as its size says; of several blocks the findings are put together by document.
+The benchmark is sent to all executors in blocks of at most BLOCK_BYTES of text, as its size says; of several blocks the findings are put together row by row,
+with one block in a worker's memory at a time.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lut, slices, text_bytes, words_of
+from .common import LOWER, lut, release, slices, text_bytes, words_of
 
 #: The words of a text, and the words of a window.
 WORD = lut([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
@@ -25,33 +27,26 @@ BLOCK_BYTES = 32 << 20
 
 
 class Benchmark:
-    """The windows of items with their words as ids; items without words have none."""
+    """The words of items as ids, in arrays of some ten times the texts' bytes; items without words have no windows."""
 
     def __init__(self, ids: list[str], texts: pa.Array, window: int = WINDOW):
         raw, offsets = text_bytes(texts)
         starts, ends, hashes, first = words_of(raw, offsets, WORD)
-        self.vocabulary, at = np.unique(hashes, return_index=True)
-        self.words = [raw[starts[i] : ends[i]].tobytes().lower() for i in at]
-        tokens = np.searchsorted(self.vocabulary, hashes)
-        self.items = ids
-        windows: dict[tuple, tuple[int, set[int]]] = {}
-        for item in range(len(ids)):
-            a, b = int(first[item]), int(first[item + 1])
-            w = min(window, b - a)
-            if not w:
-                continue
-            for q in range(a, b - w + 1):
-                windows.setdefault(tuple(tokens[q : q + w]), (q, set()))[1].add(item)
-        self.window_at = np.array([q for q, _ in windows.values()], dtype=np.int64)
-        self.window_size = np.array([len(k) for k in windows], dtype=np.int64)
-        self.window_items = [np.array(sorted(s), dtype=np.int64) for _, s in windows.values()]
-        self.tokens = tokens.astype(np.int64)
-        self.item_of = np.repeat(np.arange(len(ids)), np.diff(first))
+        self.vocabulary, at, tokens = np.unique(hashes, return_index=True, return_inverse=True)
+        self.items, self.tokens = ids, tokens.astype(np.int64)
+        self.letters, self.begin, self.end = LOWER[raw], starts[at], ends[at]
+        size = np.diff(first)
+        self.item_of = np.repeat(np.arange(len(ids)), size)
         self.item_first = first[:-1].astype(np.int64)
-        self.left = np.repeat(first[1:], np.diff(first)) - np.arange(len(tokens)) if len(tokens) else np.zeros(0, np.int64)
-        self.least = int(self.window_size.min()) if len(windows) else 0
+        self.left = np.repeat(first[1:], size) - np.arange(len(tokens))
+        self.window = np.minimum(window, size)[self.item_of]  # words of a window of a word's item
+        self.queries = np.flatnonzero(self.left >= self.window)
+        self.least = int(self.window.min()) if len(tokens) else 0
         self.deepest = int(self.left.max()) if len(tokens) else 0
 
+    def word(self, token: int) -> bytes:
+        return self.letters[self.begin[token] : self.end[token]].tobytes()
+
 
 def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes sorted by their first depth tokens at least, by prefix doubling. A suffix that ends is less than any that goes on."""
@@ -74,8 +69,8 @@ def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
 class Shard:
     """The suffix array of a slice of documents."""
 
-    def __init__(self, texts: pa.Array, bench: Benchmark):
-        self.bench = bench
+    def __init__(self, texts: pa.Array, bench: Benchmark, strange: tuple[int, ...] = ()):
+        self.bench, self.texts, self.strange = bench, texts, strange
         self.raw, offsets = text_bytes(texts)
         self.starts, self.ends, hashes, self.first = words_of(self.raw, offsets, WORD)
         self.n_words = np.diff(self.first)
@@ -85,6 +80,7 @@ class Shard:
             return
         at = np.minimum(np.searchsorted(bench.vocabulary, hashes), len(bench.vocabulary) - 1)
         known = bench.vocabulary[at] == hashes
+        known[list(strange)] = False  # words that only share a hash with one of the benchmark
         new = np.ones(n, dtype=bool)
         new[1:] = known[1:] != known[:-1]
         new[self.first[:-1][self.n_words > 0]] = True
@@ -119,25 +115,6 @@ class Shard:
             out.append(a)
         return out[0], out[1]
 
-    def search(self, queries: np.ndarray, depths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each benchmark suffix: the interval at its asked depth (empty if the match is shorter), the longest match's length and interval."""
-        n = len(queries)
-        lo, hi = np.zeros(n, np.int64), np.full(n, len(self.string), np.int64)
-        at_lo, at_hi, length = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        live = np.arange(n)
-        depth = 0
-        while len(live):
-            live = live[self.bench.left[queries[live]] > depth]
-            a, b = self.narrow(lo[live], hi[live], depth, self.bench.tokens[queries[live] + depth])
-            found = a < b
-            live = live[found]
-            lo[live], hi[live] = a[found], b[found]
-            depth += 1
-            length[live] = depth
-            due = live[depths[live] == depth]
-            at_lo[due], at_hi[due] = lo[due], hi[due]
-        return at_lo, at_hi, length, lo, hi
-
     def spread(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, place in the string) of all suffixes in the intervals."""
         count = hi - lo
@@ -145,49 +122,78 @@ class Shard:
         skip = np.concatenate([[0], np.cumsum(count)[:-1]])
         return query, self.order[np.repeat(lo - skip, count) + np.arange(count.sum())] if len(query) else np.zeros(0, np.int64)
 
+    def matches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word of the shard, word of the benchmark, words) of each longest match of a window's length or more: none goes on to either side."""
+        none = np.zeros(0, np.int64)
+        if not len(self.string):
+            return none, none, none
+        b = self.bench
+        present = np.zeros(len(b.vocabulary), dtype=bool)
+        present[self.string[self.string >= 0]] = True
+        live = b.queries
+        for k in range(int(b.window.max())):  # only suffixes whose window has no word that the shard lacks
+            live = live[(b.window[live] <= k) | present[b.tokens[np.minimum(live + k, len(b.tokens) - 1)]]]
+        lo, hi = np.zeros(len(live), np.int64), np.full(len(live), len(self.string), np.int64)
+        depth, found = 0, []
+
+        def ended(query, lo, hi):
+            which, place = self.spread(lo, hi)
+            if len(place):
+                found.append((query[which], place, np.full(len(place), depth)))
+
+        while len(live):
+            over = b.left[live] == depth
+            ended(live[over], lo[over], hi[over])
+            live, lo, hi = live[~over], lo[~over], hi[~over]
+            x, y = self.narrow(lo, hi, depth, b.tokens[np.minimum(live + depth, len(b.tokens) - 1)])
+            if depth >= b.least:
+                due = depth >= b.window[live]
+                ended(live[due], lo[due], x[due])
+                ended(live[due], y[due], hi[due])
+            on = x < y
+            live, lo, hi = live[on], x[on], y[on]
+            depth += 1
+        if not found:
+            return none, none, none
+        query, place, length = (np.concatenate(c) for c in zip(*found, strict=True))
+        before = np.where(query > b.item_first[b.item_of[query]], b.tokens[query - 1], -3)
+        starts = (place == 0) | (self.string[place - 1] != before)
+        return self.word[place[starts]], query[starts], length[starts]
+
+    def checked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The matches, and which words are hit. Words that only share a hash with those of the benchmark are taken out."""
+        word, query, length = self.matches()
+        edge = np.zeros(len(self.starts) + 1, np.int64)
+        np.add.at(edge, word, 1)
+        np.add.at(edge, word + length, -1)
+        hit = np.cumsum(edge[:-1]) > 0
+        if len(word):
+            token = np.full(len(hit), -1, dtype=np.int64)
+            seen = self.word >= 0
+            token[self.word[seen]] = self.string[seen]
+            strange = [w for w in np.flatnonzero(hit).tolist() if LOWER[self.raw[self.starts[w] : self.ends[w]]].tobytes() != self.bench.word(token[w])]
+            if strange:
+                other = Shard(self.texts, self.bench, (*self.strange, *strange))
+                return other.checked()
+        return word, query, length, hit
+
     def hits(self) -> tuple[np.ndarray, list[list[int]]]:
         """Which words are hit, and the items of each document."""
-        hit = np.zeros(len(self.starts), dtype=bool)
+        word, query, _, hit = self.checked()
         items: list[list[int]] = [[] for _ in self.n_words]
-        if not len(self.string):
-            return hit, items
-        b = self.bench
-        lo, hi, *_ = self.search(b.window_at, b.window_size)
-        window, place = self.spread(lo, hi)
-        if not len(window):
-            return hit, items
-        edge = np.zeros(len(self.string) + 1, np.int64)
-        np.add.at(edge, place, 1)
-        np.add.at(edge, place + b.window_size[window], -1)
-        inside = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-        words = self.word[inside]
-        hit[words] = True
-        for w, t in zip(words.tolist(), self.string[inside].tolist(), strict=True):
-            if self.raw[self.starts[w] : self.ends[w]].tobytes().lower() != b.words[t]:
-                raise RuntimeError("two words of one hash")
-        doc = np.searchsorted(self.first, self.word[place], side="right") - 1
-        for key in np.unique(doc * np.int64(len(b.window_at)) + window).tolist():
-            items[key // len(b.window_at)].append(key % len(b.window_at))
-        return hit, [np.unique(np.concatenate([b.window_items[w] for w in ws])).tolist() if ws else [] for ws in items]
+        if len(word):
+            doc = np.searchsorted(self.first, word, side="right") - 1
+            size = max(1, len(self.bench.items))
+            for key in np.unique(doc * np.int64(size) + self.bench.item_of[query]).tolist():
+                items[key // size].append(key % size)
+        return hit, items
 
     def longest(self) -> list[tuple[int, int, int, int, int]]:
-        """(document, item, word of the item, word of the document, words) of the longest matches of each item suffix that reach a window's length, without those inside a longer one."""
-        if not len(self.string):
-            return []
-        b = self.bench
-        queries = np.arange(len(b.tokens))
-        _, _, length, lo, hi = self.search(queries, np.zeros(len(queries), np.int64))
-        least = np.minimum(WINDOW, b.left[b.item_first[b.item_of]] if len(queries) else queries)
-        hi = np.where(length >= least, hi, lo)
-        query, place = self.spread(lo, hi)
-        # A match that goes on to the left is part of the match of the suffix before it.
-        before_doc, before_item = self.string[place - 1], np.where(query > b.item_first[b.item_of[query]], b.tokens[query - 1], -3)
-        starts = (place == 0) | (before_doc != before_item)
-        query, place = query[starts], place[starts]
-        word = self.word[place]
+        """(document, item, word of the item, word of the document, words) of the longest matches."""
+        word, query, length, _ = self.checked()
         doc = np.searchsorted(self.first, word, side="right") - 1
-        item = b.item_of[query]
-        return list(zip(doc.tolist(), item.tolist(), (query - b.item_first[item]).tolist(), (word - self.first[doc]).tolist(), length[query].tolist(), strict=True))
+        item = self.bench.item_of[query]
+        return sorted(zip(doc.tolist(), item.tolist(), (query - self.bench.item_first[item]).tolist(), (word - self.first[doc]).tolist(), length.tolist(), strict=True))
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list:
@@ -204,28 +210,31 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list:
     return out
 
 
-def _scan(docs: DataFrame, block, id_col: str, text_col: str, spans: bool) -> DataFrame:
-    """id, text hash, n_words, n_hit, items and, if asked, the hit words as int32 numbers."""
-    schema = T.StructType(
-        [docs.schema[id_col], T.StructField("_key", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType())]
-        + [T.StructField("items", T.ArrayType(T.StringType())), T.StructField("_hit", T.BinaryType())]
-    )
+def _through(blocks: list, parts: list, make) -> list[list]:
+    """make(shard) for each block and part. Of several blocks one is held at a time."""
+    out = []
+    for block in blocks:
+        out.append([make(Shard(p, block.value)) for p in parts])
+        if len(blocks) > 1:
+            block.__dict__.pop("_value", None)
+            release()
+    return out
+
+
+def _hit_words(shard: Shard) -> tuple[list[np.ndarray], list[list[str]]]:
+    """The numbers of each document's hit words, and its items."""
+    hit, items = shard.hits()
+    names = shard.bench.items
+    return [np.flatnonzero(hit[a:b]) for a, b in zip(shard.first[:-1], shard.first[1:], strict=True)], [[names[i] for i in x] for x in items]
 
-    def run(batches):
-        bench = block.value if block else Benchmark([], pa.array([], pa.string()))
-        for part in slices(batches, 2):
-            shard = Shard(part.column(2), bench)
-            hit, items = shard.hits()
-            first = shard.first
-            total = np.concatenate([[0], np.cumsum(hit)])
-            found = [np.flatnonzero(hit[first[i] : first[i + 1]]).astype(np.int32).tobytes() if spans and items[i] else None for i in range(len(items))]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(shard.n_words, pa.int64()), pa.array(total[first[1:]] - total[first[:-1]], pa.int64())]
-                + [pa.array([[bench.items[i] for i in x] for x in items], pa.list_(pa.string())), pa.array(found, pa.binary())],
-                names=schema.names,
-            )
-
-    return docs.select(id_col, F.xxhash64(text_col).alias("_key") if spans else F.lit(0).cast("long").alias("_key"), text_col).mapInArrow(run, schema)
+
+def _joined(found: list) -> list[tuple[int, list[str]]]:
+    """(number of hit words, sorted items) of each document, over the blocks."""
+    out = []
+    for each in zip(*(zip(*f, strict=True) for f in found), strict=True):
+        words = [w for w, _ in each if len(w)]
+        out.append((len(np.unique(np.concatenate(words))) if words else 0, sorted({i for _, items in each for i in items})))
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -233,64 +242,53 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Null and empty texts have no words; items without an id or words have no windows, items of one id are one. Repeated rows come back as often; other columns are not read."""
     blocks = _blocks(benchmark, item_col, item_text)
-    if len(blocks) < 2:
-        out = _scan(docs, blocks[0] if blocks else None, id_col, text_col, False)
-        return out.select(id_col, "n_words", "n_hit", F.array_sort(F.array_distinct("items")).alias("items"))
-    scans = [_scan(docs, b, id_col, text_col, True) for b in blocks]
-    both = scans[0]
-    for s in scans[1:]:
-        both = both.unionByName(s)
-    # Rows of one id and text have the same findings in each block; a group holds a row for each block and copy, and the copies are few words each.
-    numbers = both.groupBy(id_col, "_key").agg(
-        F.max("n_words").alias("n_words"), F.collect_set("_hit").alias("_hits"), F.flatten(F.collect_set("items")).alias("items"), (F.count("*") / len(blocks)).cast("int").alias("_copies")
-    )
-
-    @F.udf("long")
-    def joined(hits):
-        return int(len(np.unique(np.concatenate([np.frombuffer(h, np.int32) for h in hits])))) if hits else 0
-
-    out = numbers.select(id_col, "n_words", joined("_hits").alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.drop("col")
+    schema = T.StructType([docs.schema[id_col], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])
+
+    def run(batches):
+        for batch in batches:
+            parts = list(slices([batch], 1))
+            words = [np.diff(words_of(*text_bytes(p.column(1)), WORD)[3]) for p in parts] if not blocks else None
+            found = _through(blocks, [p.column(1) for p in parts], lambda s: (_hit_words(s), s.n_words))
+            for k, part in enumerate(parts):
+                rows = _joined([f[k][0] for f in found]) or [(0, [])] * part.num_rows
+                n_words = found[0][k][1] if found else words[k]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array([n for n, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.list_(pa.string()))], names=schema.names)
+        release()
+
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The longest verbatim matches and their places: id, item, item_word, doc_word (both from 0), n_words. Matches are longest within a shard of documents."""
+    """The longest verbatim matches of a window's length or more and their places: id, item, item_word, doc_word (both from 0), n_words. A row for each
+    match that goes on to neither side; null and empty texts have none, repeated rows have theirs as often."""
     schema = T.StructType([docs.schema[id_col], T.StructField("item", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("item_word", "doc_word", "n_words"))])
-    out = None
-    for block in _blocks(benchmark, item_col, item_text):
+    blocks = _blocks(benchmark, item_col, item_text)
 
-        def run(batches, block=block):
-            bench = block.value
-            for part in slices(batches, 1):
-                found = Shard(part.column(1), bench).longest()
-                if found:
-                    doc, item, *rest = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array([bench.items[i] for i in item]), *(pa.array(c, pa.int64()) for c in rest)], names=schema.names)
+    def run(batches):
+        for batch in batches:
+            parts = list(slices([batch], 1))
+            for of_block in _through(blocks, [p.column(1) for p in parts], lambda s: (s.longest(), s.bench.items)):
+                for part, (found, names) in zip(parts, of_block, strict=True):
+                    if found:
+                        doc, item, *rest = zip(*found, strict=True)
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array([names[i] for i in item]), *(pa.array(c, pa.int64()) for c in rest)], names=schema.names)
+        release()
 
-        part = docs.select(id_col, text_col).mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_hit: int = WINDOW, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, in which fewer than min_hit words are hit. Null and empty texts stay."""
     blocks = _blocks(benchmark, item_col, item_text)
-    # Each block's scan adds the hit words to those of the blocks before it, in a last column of their numbers.
-    names = docs.columns
-    extra = "_hit" + "_" * max(map(len, names))
-    out = docs.withColumn(extra, F.lit(None).cast("binary")) if blocks else docs
-    for block in blocks:
+    if not blocks:
+        return docs
 
-        def run(batches, block=block):
-            for part in slices(batches, text_col):
-                shard = Shard(part.column(text_col), block.value)
-                hit, _ = shard.hits()
-                now = [np.flatnonzero(hit[a:b]).astype(np.int32) for a, b in zip(shard.first[:-1], shard.first[1:], strict=True)]
-                before = part.column(extra).to_pylist()
-                now = [x if y is None else np.union1d(x, np.frombuffer(y, np.int32)) for x, y in zip(now, before, strict=True)]
-                found = pa.array([x.tobytes() if len(x) else None for x in now], pa.binary())
-                rows = pa.RecordBatch.from_arrays([*part.columns[:-1], found], names=part.schema.names)
-                yield rows.filter(pa.array([len(x) < min_hit for x in now], pa.bool_()))
-
-        out = out.mapInArrow(run, out.schema)
-    return out.select(*names)
+    def run(batches):
+        for batch in batches:
+            parts = list(slices([batch], text_col))
+            found = _through(blocks, [p.column(text_col) for p in parts], _hit_words)
+            for k, part in enumerate(parts):
+                yield part.filter(pa.array([n < min_hit for n, _ in _joined([f[k] for f in found])], pa.bool_()))
+        release()
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,8 @@ and its beginnings. A document's score joins its sentences by noisy-or, 1 - prod
 likelihood of the document labels is maximised through the noisy-or, so that the gradient goes to the sentences that explain a label.
 The sentences at or above the threshold are the offending ones.
 
-The fit uses at most SAMPLE labelled documents, those with the smallest hash of the id, in one task; scoring is one pass over all documents.
+The fit uses at most SAMPLE labelled documents, those with the smallest hash of the id, in one task; of their texts one that does not fit into what is left of
+SAMPLE_BYTES is passed over, the others are taken whole. Scoring is one pass over all documents.
 """
 
 from __future__ import annotations
@@ -148,7 +149,8 @@ class Scorer:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: int | None = 5):
     """A broadcast Scorer. held_out: rows whose crc32 of the id modulo it is 0 are not learnt from.
 
-    Of labels, null ids and labels are left out and an id with several labels counts by the largest. Without labels every score is near 0."""
+    Of labels, null ids and labels are left out and an id with several labels counts by the largest; of several texts of an id the least is learnt from. Without labels every
+    score is near 0. Texts above a quarter of SAMPLE_BYTES are scored but not learnt from."""
     spark = docs.sparkSession
     kept = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     if held_out:
@@ -156,18 +158,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # The sample's ids are bounded, so they may go to all executors; documents are read once, without a shuffle.
     sample = kept.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
-    rows = rows.join(F.broadcast(sample), "_id").select(F.xxhash64("_id").alias("_h"), "_y", "_text")
+    rows = rows.join(F.broadcast(sample), "_id").where(F.octet_length("_text") <= SAMPLE_BYTES // 4)
+    rows = rows.groupBy("_id").agg(F.max("_y").alias("_y"), F.min("_text").alias("_text"))
 
     def learn(batches):
-        got = sorted((h, text, y) for batch in batches for h, y, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-        size = np.cumsum([len(text.encode()) for _, text, _ in got])
-        n = int(np.searchsorted(size, SAMPLE_BYTES, side="right"))
-        weights, bias = fit([text for _, text, _ in got[:n]], np.array([y for *_, y in got[:n]], dtype=float))
-        del got
+        texts, marks, used = [], [], 0
+        for batch in batches:
+            for y, text in zip(batch.column("_y").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+                size = len(text.encode())
+                if used + size <= SAMPLE_BYTES:
+                    used += size
+                    texts.append(text)
+                    marks.append(y)
+        weights, bias = fit(texts, np.array(marks, dtype=float))
+        del texts
         release()
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()]), pa.array([bias])], names=["weights", "bias"])
 
-    got = rows.repartition(1).mapInArrow(learn, "weights binary, bias double").collect()
+    rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id")
+    got = rows.mapInArrow(learn, "weights binary, bias double").collect()
     weights, bias = (np.frombuffer(got[0]["weights"], np.float32), got[0]["bias"]) if got else fit([], np.zeros(0))
     return spark.sparkContext.broadcast(Scorer(weights.astype(float), bias))
 

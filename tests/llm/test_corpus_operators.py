@@ -96,6 +96,49 @@ def test_longest_matches(spark):
     assert [tuple(r) for r in decontam.longest_matches(d, b).collect()] == [(7, "1", 1, 0, 10)]
 
 
+def test_longest_matches_do_not_depend_on_slices(spark, monkeypatch):
+    """Every match that goes on to neither side, against a plain search, whatever shares a slice."""
+    rng = random.Random(12)
+    words = ["w0", "w1"]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(2, 40)))) for i in range(8)]
+    docs = [(i, " ".join(rng.choice([*words, "other"]) for _ in range(rng.randrange(0, 60)))) for i in range(30)] + [(30, items[0][1]), (31, items[0][1][3:] + " w1"), (32, None)]
+    want = set()
+    for d, text in docs:
+        x = (text or "").split()
+        for i, item in items:
+            y = item.split()
+            for p in range(len(x)):
+                for q in range(len(y)):
+                    if p and q and x[p - 1] == y[q - 1]:
+                        continue
+                    n = 0
+                    while p + n < len(x) and q + n < len(y) and x[p + n] == y[q + n]:
+                        n += 1
+                    if n >= min(8, len(y)):
+                        want.add((d, str(i), q, p, n))
+    assert len(want) > 5
+    rows, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for parts in (1, 7):
+        got = [tuple(r) for r in decontam.longest_matches(rows.repartition(parts), bench).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_words_of_one_hash(spark, monkeypatch):
+    """A word that shares its hash with one of the benchmark is told apart."""
+    real = decontam.words_of
+
+    def weak(raw, offsets, word):
+        starts, ends, hashes, first = real(raw, offsets, word)
+        same = np.array([raw[a:b].tobytes() in (b"alpha", b"omega") for a, b in zip(starts, ends, strict=True)], dtype=bool)
+        return starts, ends, np.where(same, np.uint64(77), hashes), first
+
+    monkeypatch.setattr(decontam, "words_of", weak)
+    bench = decontam.Benchmark(["1"], pa.array(["a b c d alpha e f g"]))
+    for text, want in (("x a b c d alpha e f g y", 8), ("x a b c d omega e f g y", 0), ("a b c d omega e f g a b c d alpha e f g", 8)):
+        hit, items = decontam.Shard(pa.array([text]), bench).hits()
+        assert (int(hit.sum()), items) == (want, [[0]] if want else [[]])
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_suffix_array(seed):
     rng = random.Random(seed)
@@ -361,3 +404,47 @@ def test_word_hashes_hold_texts_apart():
     starts, ends, hashes, first = words_of(raw, offsets, jaccard.WORD)
     assert first.tolist() == [0, 1, 1, 3, 3, 4] and (ends - starts).tolist() == [3, 3, 3, 4]
     assert len(set(hashes[:3].tolist())) == 1 and hashes[3] != hashes[0]
+
+
+def test_toxicity_of_long_and_repeated_texts(spark, monkeypatch):
+    """A text that does not fit into the sample's bytes is passed over; the others are learnt from."""
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 40_000)
+    docs = [(i, "you vile fool. " if i % 2 else "good morning all. ") for i in range(300)] + [(i, "word " * 5000) for i in range(300, 330)] + [(None, "x"), (1, "you vile fool. ")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2 if i < 300 else 0) for i in range(330)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    model = toxicity.train(rows, labels)
+    assert model.value.score("you vile fool.") > 0.5 > model.value.score("good morning all.")
+    nothing = toxicity.train(rows.limit(0), labels)
+    assert nothing.value.score("you vile fool.") < 0.5
+
+
+def test_noisy_or_by_brute_force(spark):
+    """Scores from their definition, and the fit's likelihood against weights moved by a little."""
+    rng = random.Random(3)
+    clean, bad = [f"c{chr(97 + i)}lm" for i in range(12)], ["nasty", "horrid"]
+    texts, marks = [], []
+    for i in range(400):
+        toxic = i % 3 == 0
+        lines = [" ".join(rng.choice(clean) for _ in range(5)) for _ in range(4)]
+        if toxic:
+            lines[rng.randrange(4)] += " " + rng.choice(bad)
+        texts.append(". ".join(lines))
+        marks.append(toxic)
+    weights, bias = toxicity.fit(texts, np.array(marks, dtype=float))
+    scorer = toxicity.Scorer(weights, bias)
+
+    def plain(text, w):
+        clean = 1.0
+        for s in re.split(r"[.!?\n]+", text.lower()):
+            seen = set(re.findall(r"[a-z]+", s))
+            if seen:
+                clean *= 1 - 1 / (1 + np.exp(-(bias + sum(w[p] for x in seen for p in toxicity.parts(x)))))
+        return 1 - clean
+
+    assert all(abs(scorer.score(t) - plain(t, weights)) < 1e-9 for t in texts[:50])
+    assert [scorer.score(t) >= 0.5 for t in texts] == marks
+    loss = lambda w: -sum(np.log(max(1e-12, p if y else 1 - p)) for p, y in ((plain(t, w), y) for t, y in zip(texts, marks, strict=True)))
+    for word, sign in (("nasty", 1), ("calm", -1)):
+        less = weights.copy()
+        less[toxicity.parts(word)] -= sign * 0.5
+        assert loss(less) > loss(weights)
