@@ -16,29 +16,34 @@ from pyspark.sql import functions as F
 
 from loomstone.llm import bpe, decontam, jaccard, secrets
 from loomstone.llm import toxicity as toxic
-from loomstone.llm.common import shared_folder
+from loomstone.llm.common import long_rows, shared_folder
 
 #: Near duplicates share this many hundredths of their shingles of so many words; op5 has its own.
 NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    long_rows(spark)
     return toxic.drop_toxic(docs, toxic.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    long_rows(spark)
     return jaccard.keep_one(docs, percent=NEAR_PERCENT, shingle=NEAR_SHINGLE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    long_rows(spark)
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    long_rows(spark)
     return secrets.redact_secrets(docs, length_col="n_chars")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    long_rows(spark)
     return bpe.bpe_encode(docs, bpe.default_vocabulary()).select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

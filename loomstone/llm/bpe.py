@@ -27,7 +27,9 @@ from pyspark.sql import types as T
 from .common import mix, release, slices, text_bytes
 
 #: Bytes of text that are encoded at once; words of more bytes than LEVELS are walked one place at a time.
-ENCODE_BYTES, LEVELS = 1 << 20, 256
+ENCODE_BYTES, LEVELS = 1 << 19, 256
+#: Of the table of edges: the factor of the hash, and what an empty slot holds.
+HASH, NO_EDGE = np.uint32(2654435761), np.uint32(0xFFFFFFFF)
 LETTER, NUMBER, SPACE, OTHER = range(4)
 
 
@@ -191,32 +193,58 @@ class Automaton:
         place = np.empty(len(order), dtype=np.int32)
         place[order] = np.arange(len(order))
         edges = np.array([(a, byte, b) for (a, byte), b in child.items()], dtype=np.int64)
-        self.edge = place[edges[:, 0]].astype(np.int64) * 256 + edges[:, 1], place[edges[:, 2]]
+        self.edge = (place[edges[:, 0]].astype(np.int64) * 256 + edges[:, 1]).astype(np.uint32), place[edges[:, 2]]
         self.token_at, self.inner = np.array(token, dtype=np.int32)[order], len(inner)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
     def _ready(self) -> None:
-        """Tables that are made anew from the others."""
-        if "_child" not in self.__dict__:
-            self._child = np.zeros(self.inner * 256, dtype=np.int32)
-            self._child[self.edge[0]] = self.edge[1]
-            self._label_at = np.cumsum(self.width) - self.width
-            self._written = [str(i) for i in range(len(self.width))]
+        """Tables that are made anew from the others: the edges by (node, byte) in an open-addressed table, a quarter full at most."""
+        if "_slots" in self.__dict__:
+            return
+        self._label_at = np.cumsum(self.width) - self.width
+        self._written = [str(i) for i in range(len(self.width))]
+        key, child = self.edge
+        self._shift = np.uint32(32 - (4 * len(key)).bit_length())
+        slots = np.full((1 << int(32 - self._shift)) + 256, NO_EDGE, dtype=np.uint32)
+        children = np.zeros(len(slots), dtype=np.int32)
+        at = (key * HASH >> self._shift).astype(np.int64)
+        while len(key):
+            free = slots[at] == NO_EDGE
+            slots[at[free]] = key[free]
+            put = free & (slots[at] == key)
+            children[at[put]] = child[put]
+            key, child, at = key[~put], child[~put], at[~put] + 1
+        self._slots, self._children = slots, children
+
+    def _next(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The nodes that bytes lead to, 0 where there is no edge."""
+        key = (node.astype(np.uint32) << np.uint32(8)) | byte
+        at = (key * HASH >> self._shift).astype(np.int64)
+        seen = self._slots[at]
+        out = np.where(seen == key, self._children[at], 0)
+        open_ = np.flatnonzero((seen != key) & (seen != NO_EDGE))
+        while len(open_):
+            at[open_] += 1
+            seen = self._slots[at[open_]]
+            same = seen == key[open_]
+            out[open_[same]] = self._children[at[open_[same]]]
+            open_ = open_[~same & (seen != NO_EDGE)]
+        return out
 
     def _found(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, token) of all tokens that lie in words; ends: the end of the word of each byte."""
-        at = np.arange(len(raw))
-        node, found = np.zeros(len(raw), dtype=np.int64), []
+        at = np.arange(len(raw), dtype=np.int32)
+        node, found = np.zeros(len(raw), dtype=np.int32), []
         while len(at):
-            depth = len(found)
-            node = self._child[node * 256 + raw[at + depth]].astype(np.int64)
+            depth = np.int32(len(found))
+            node = self._next(node, raw[at + depth])
             seen = node > 0
             at, node = at[seen], node[seen]
             token = self.token_at[node]
             hit = token >= 0
-            found.append((at[hit], at[hit] + depth + 1, token[hit]))
+            found.append((at[hit], at[hit] + depth + np.int32(1), token[hit]))
             on = (node < self.inner) & (at + depth + 1 < ends[at])
             at, node = at[on], node[on]
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import release, slices
 
 #: The base patterns; spans of group 0, and the least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -139,8 +139,13 @@ def cleared(p_values: list[float], lengths: list[int], level: float = CLEAR_FDR)
     return [x <= limit for x in q]
 
 
-@functools.lru_cache(maxsize=4096)
 def judged(s: str) -> tuple[float, float]:
+    """As _judged; short candidates are kept."""
+    return _judged(s) if len(s) <= 256 else _judged.__wrapped__(s)
+
+
+@functools.lru_cache(maxsize=4096)
+def _judged(s: str) -> tuple[float, float]:
     """p-value and bits of a candidate; -1 bits where no encoding fits."""
     encoding = infer_encoding(s)
     if encoding is None:
@@ -231,6 +236,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     n[k] += 1
                 rows.append((*n, w := written(base), hashlib.sha256(w.encode()).hexdigest(), written(every)))
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64() if i < len(KINDS) else pa.string()) for i, c in enumerate(zip(*rows, strict=True)))], names=schema.names)
+        _judged.cache_clear()
+        release()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -246,5 +253,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
             if length_col:
                 new[length_col] = pa.array([None if t is None else len(t) for t in texts]).cast(part.schema.field(length_col).type)
             yield pa.RecordBatch.from_arrays([new.get(c, part.column(c)) for c in names], names=names)
+        _judged.cache_clear()
+        release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -79,6 +79,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> tuple[np.
     if not feats:
         return weights, -20.0 if not labels.any() else bias
     flat = np.concatenate(feats)
+    del feats, index
     sent_at = np.concatenate([[0], np.cumsum(sent_len)])
     doc_at = np.concatenate([[0], np.cumsum(doc_len)])
     g2, b2 = np.full(DIM, 0.1), 10.0
