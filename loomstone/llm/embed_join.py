@@ -75,7 +75,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """(id, n_links) of linked vectors, and links (a, b) that join the same vectors as all links do."""
     spark = vectors.sparkSession
     r = float(np.sqrt(2 - 2 * cosine))
-    rows = vectors.where(F.col(label_col).isNotNull() & usable(vector_col)).select(
+    rows = vectors.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & usable(vector_col)).select(
         F.xxhash64(id_col, vector_col).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.size(vector_col).alias("dim"), F.col(vector_col).cast("array<double>").alias("v")
     )
     if not rows.groupBy("id").count().where("count > 1").isEmpty():
@@ -182,7 +182,7 @@ def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     """One row for each row: id, n_links, component_id, kept.
 
     Vectors of different labels or lengths never link; null, zero or not finite vectors and null labels stand alone. Rows that repeat an id count as one vector
-    if they are equal, and rows of one id are never partners; ids are long numbers. Other columns are not read."""
+    if they are equal, and rows of one id are never partners; ids are long numbers, and rows of a null id stand alone (no component, kept). Other columns are not read."""
     counts, links = embedding_links(vectors, id_col, vector_col, label_col, cosine)
     groups = components(links)
     out = vectors.select(id_col).join(counts.withColumnRenamed("id", "_n"), F.col(id_col) == F.col("_n"), "left").join(groups, F.col(id_col) == F.col("node"), "left")

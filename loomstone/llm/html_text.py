@@ -1,10 +1,10 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is stripped into lines, one for each block of the page. A line weighs what its text holds outside of links; lines of
-page furniture (by element, role, or a word of class or id) and, where the page names its article, lines outside it weigh
-nothing. The weights are summed over sliding windows of lines. Text begins where the sums surge above a level and
-ends where they dive back; between the two points every line counts, short ones too. The level follows the page's median window
-and has a bound, so that no block of text, however long, hides others. Where an article is named, all its text is kept.
+page furniture (by element, role, or a word of class or id) weigh nothing. Where the page names its article, and the article is not a mere
+teaser beside more text, a line inside it weighs all its text and MOST besides, a line outside it nothing. The weights are summed over sliding windows of lines.
+Text begins where the sums surge above a level and ends where they dive back; between the two points every line counts, short ones too. The level follows the
+page's median window and has a bound, so that no block of text, however long, hides others.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ WINDOW = 3
 #: Share of the median window above which text surges, where no article is named, and the most characters that are asked of a window.
 SURGE = 0.12
 MOST = 80
+#: A named article that holds less than this share of the page's text outside furniture is a teaser.
+TEASER = 0.25
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -72,6 +74,7 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     """(text, text outside links, in an article) for each block in page order, where furniture leaves an empty line; whether an article is named."""
     out: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, furniture, article
+    opened: dict[str, int] = {}  # how often a tag is in the stack
     text: list[str] = []
     linked = article = links = dropped = 0
     named = False
@@ -92,6 +95,7 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     def pop() -> None:
         nonlocal dropped, article, links
         tag, bad, main = stack.pop()
+        opened[tag] -= 1
         dropped -= bad
         article -= main
         links -= tag == "a"
@@ -113,10 +117,10 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         elif tag in ("br", "td", "th"):
             text.append(" ")
         if m["end"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                while len(stack) > depth:
+            if opened.get(tag):
+                while stack[-1][0] != tag:
                     pop()
+                pop()
             continue
         if tag in VOID:
             continue
@@ -133,6 +137,7 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             gap()
         if bad or main or tag in BLOCKS or tag == "a":
             stack.append((tag, bad, main))
+            opened[tag] = opened.get(tag, 0) + 1
             dropped += bad
             article += main
             links += tag == "a"
@@ -173,18 +178,13 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     rows, named = lines(page)
-    if named:
-        return "\n".join(t for t, _, inside in rows if inside and t) if not rows or not (keep := _between(rows, named)) else keep
-    return _between(rows, named)
-
-
-def _between(rows: list[tuple[str, int, bool]], named: bool) -> str:
-    weights = [len(t) if named and inside else 0 if named else w for t, w, inside in rows]
+    inside, outside = (sum(w for _, w, main in rows if main is side) for side in (True, False))
+    named = named and any(main and t for t, _, main in rows) and inside >= TEASER * (inside + outside)
+    weights = [(len(t) + MOST if t and main else 0) if named else w for t, w, main in rows]
     if not any(weights):
         return ""
-    level = 0.0 if named else min(MOST, SURGE * statistics.median(s for i in range(len(weights)) if (s := sum(weights[i : i + WINDOW]))))
-    parts = [t for a, b in stretches(weights, level) for t, _, inside in rows[a:b] if t and (inside or not named)]
-    return "\n".join(parts)
+    sums = [s for i in range(len(weights)) if (s := sum(weights[i : i + WINDOW]))]
+    return "\n".join(t for a, b in stretches(weights, min(MOST, SURGE * statistics.median(sums))) for t, _, _ in rows[a:b] if t)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -448,3 +448,9 @@ def test_noisy_or_by_brute_force(spark):
         less = weights.copy()
         less[toxicity.parts(word)] -= sign * 0.5
         assert loss(less) > loss(weights)
+
+
+def test_vectors_of_null_ids(spark):
+    rows = spark.createDataFrame([(None, "a", [1.0, 0.0]), (1, "a", [1.0, 0.0]), (2, "a", [1.0, 0.01]), (None, None, None)], "vec_id long, label string, embedding array<double>")
+    got = sorted((tuple(r) for r in embed_join.embedding_near_dedup(rows).collect()), key=str)
+    assert got == sorted([(None, 0, None, True), (None, 0, None, True), (1, 1, 1, True), (2, 1, 1, False)], key=str)

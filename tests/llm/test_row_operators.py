@@ -244,3 +244,44 @@ def test_shift_and(patterns, urls):
     for i, (h, p) in enumerate(urls):
         for j, (gh, gp) in enumerate(patterns):
             assert got[i, j] == bool(re.fullmatch(turn(gh, ".*"), h) and re.fullmatch(turn(gp, ".*"), p))
+
+
+def test_line_blocks_by_brute_force():
+    """The lines that weigh and lie in a window above the level, whatever their order."""
+    rng = random.Random(8)
+    for _ in range(300):
+        weights = [rng.choice([0, 0, 3, 20, 90, 400]) for _ in range(rng.randrange(1, 30))]
+        level = rng.choice([0, 5, 40, 120])
+        want = set()
+        for s in range(len(weights)):
+            block = range(s, min(len(weights), s + html_text.WINDOW))
+            if sum(weights[i] for i in block) > level:
+                want |= {i for i in block if weights[i]}
+        got = [i for a, b in html_text.stretches(weights, level) for i in range(a, b)]
+        assert len(got) == len(set(got)) and {i for i in got if weights[i]} == want
+
+
+def test_article_is_a_weight():
+    page = html_text.main_text
+    long = "".join(f"<p>{'word ' * 60}{i}</p>" for i in range(5))
+    assert page(f"<article><p>short</p></article><div>{long}</div>").count("word") == 300  # a teaser does not hide the text beside it
+    assert page(f"<div><p>{'other ' * 20}</p></div><hr><article>{long}<p>end</p></article>").startswith("word")
+    assert page(f"<article>{long}<p>end</p></article>").endswith("\nend")
+
+
+def test_long_pages_of_unmatched_tags():
+    import time
+
+    begun = time.time()
+    assert html_text.main_text("<div>" * 300_000 + "</p>" * 300_000 + "x" * 5_000_000) == "x" * 5_000_000
+    assert time.time() - begun < 60
+
+
+def test_pages_of_no_rows_and_clashing_names(spark):
+    rows = spark.createDataFrame([(None, None, "<p>a</p>", 1, "t")] * 2, "page_id long, url string, html string, n_chars int, text string")
+    assert [tuple(r) for r in html_text.extract_main_text(rows).collect()] == [(None, None, "a", 1)] * 2
+    assert html_text.extract_main_text(rows.limit(0)).count() == 0
+    assert url_filter.filter_urls(rows.limit(0)).count() == 0
+    docs = spark.createDataFrame([(1, "password=abcdef", "x")] * 2, "doc_id long, text string, spans string")
+    assert [r["spans"] for r in secrets.secret_scan(docs).collect()] == ["assign:0:15"] * 2
+    assert secrets.secret_scan(docs.limit(0)).count() == 0
