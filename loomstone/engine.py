@@ -34,6 +34,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark.newSession()
         self.spark.conf.set("spark.sql.ansi.enabled", "false")
+        self.spark.conf.set("spark.sql.parser.escapedStringLiterals", "true")
         self.spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.catalog = Catalog(self.spark, root)
         self.vectors = Vectors(self)
@@ -68,6 +69,18 @@ class Engine:
         return row.get(t.key)
 
 
+    def _get(self, table: str, key, _=None) -> dict:
+        """The row of a key."""
+        rows = self.catalog.read(table).where(F.col(self.catalog.table(table).key) == key).limit(1).collect()
+        if not rows:
+            raise ValueError(f"{table} has no {key}")
+        return rows[0].asDict()
+
+    def _drop(self, table: str, key) -> None:
+        if not self.catalog.delete(table, F.col(self.catalog.table(table).key) == key):
+            raise ValueError(f"{table} has no {key}")
+
+
 class Vectors:
     """Vector indexes: tables of id, vector and payload with a metric and a dimension."""
 
@@ -92,9 +105,12 @@ class Vectors:
         return sorted(t.removeprefix("vector_index_") for t in self.engine.catalog.state.tables if t.startswith("vector_index_"))
 
     def insert(self, name: str, rows: list[tuple] | DataFrame) -> None:
-        """Rows (id, vector, payload); those of known ids are replaced."""
+        """Rows (id, vector, payload); those of known ids are replaced. Of several rows of an id the last of a list counts, the largest of a DataFrame."""
         dim, _ = self._meta(name)
-        if not isinstance(rows, DataFrame):
+        if isinstance(rows, DataFrame):
+            rows = rows.select("id", F.struct("vector", "payload").alias("r")).groupBy("id").agg(F.max("r").alias("r")).select("id", "r.vector", "r.payload")
+        else:
+            rows = list({r[0]: r for r in rows}.values())
             rows = self.engine.spark.createDataFrame([(r[0], [float(x) for x in r[1]], *r[2:], None)[:3] for r in rows], "id string, vector array<float>, payload string")
         vector.check_dimension(rows, dim)
         self.engine.catalog.replace(self._table(name), vector.upsert(self.engine.catalog.read(self._table(name)), rows))
@@ -126,6 +142,7 @@ class Graph:
         return catalog.read("graph_nodes"), catalog.read("graph_edges")
 
     def _put(self, table: str, old: DataFrame, rows: list[tuple]) -> None:
+        rows = list({r[0]: r for r in rows}.values())  # of several rows of an id the last counts
         self.engine.catalog.replace(table, vector.upsert(old, self.engine.spark.createDataFrame(rows, old.schema)))
 
     def add_nodes(self, rows: list[tuple]) -> None:
@@ -141,6 +158,16 @@ class Graph:
         self.engine.catalog.replace("graph_edges", edges)
         self.engine.catalog.replace("graph_nodes", nodes)
 
+    def delete_edge(self, edge: str) -> None:
+        self._tables()
+        self.engine.catalog.delete("graph_edges", F.col("id") == edge)
+
+    def node(self, node: str) -> dict:
+        return self.engine._get("graph_nodes", node, self._tables())
+
+    def edge(self, edge: str) -> dict:
+        return self.engine._get("graph_edges", edge, self._tables())
+
     def neighbors(self, node: str, direction: str = "out") -> DataFrame:
         return graph.neighbors(*self._tables(), node, direction)
 
@@ -177,7 +204,7 @@ class Lineage:
 
 
 class Agents:
-    """Sessions, memories, decisions and documents of agents. Reads change nothing."""
+    """Sessions, memories, decisions and documents of agents. Only memory() counts what it reads."""
 
     def __init__(self, engine: Engine):
         self.engine = engine
@@ -189,8 +216,55 @@ class Agents:
 
     def create_session(self, agent_id: str, context: dict | None = None) -> str:
         now = self._now()
+        mine = agents.quota(self.engine.catalog.read("agent_sessions").where(F.col("agent_id") == agent_id)).first()
+        if mine and not mine["may_create"]:
+            raise ValueError(f"{agent_id} has as many live sessions as it may have")
         return self.engine._append("agent_sessions", {"id": uuid7(), "agent_id": agent_id, "state": "active", "context": context or {}, "metadata": {}, "created_at": now, "updated_at": now})
 
+    def session(self, session: str) -> dict:
+        return self.engine._get("agent_sessions", session)
+
+    def update_session(self, session: str, context: dict | None = None, metadata: dict | None = None) -> None:
+        """Merge entries into a session's context and metadata; those of known names are replaced."""
+        old = self.session(session)
+        new = {c: {**(old[c] or {}), **(more or {})} for c, more in (("context", context), ("metadata", metadata))}
+        as_map = lambda m: F.create_map(*(F.lit(x) for kv in m.items() for x in kv)) if m else F.expr("map()")
+        self.engine.catalog.update("agent_sessions", {c: as_map(m) for c, m in new.items()} | {"updated_at": F.lit(self._now())}, F.col("id") == session)
+
+    def delete_session(self, session: str) -> None:
+        self.engine._drop("agent_sessions", session)
+
+    def heartbeat(self, session: str) -> None:
+        self.session(session)
+        self.engine.catalog.update("agent_sessions", {"updated_at": F.lit(self._now())}, F.col("id") == session)
+
+    def expire(self, idle: str = "24 hours") -> int:
+        """Sessions that were idle for longer become failed; how many."""
+        late = agents.expired(self.engine.catalog.read("agent_sessions"), self._now(), idle).select("id")
+        ids = [r[0] for r in late.collect()]
+        return self.engine.catalog.update("agent_sessions", {"state": F.lit("failed"), "updated_at": F.lit(self._now())}, F.col("id").isin(ids)) if ids else 0
+
+    def memory(self, memory: str) -> dict:
+        """A memory, with one more access."""
+        self.engine._get("agent_memories", memory)
+        self.engine.catalog.update("agent_memories", {"access_count": F.col("access_count") + 1, "accessed_at": F.lit(self._now())}, F.col("id") == memory)
+        return self.engine._get("agent_memories", memory)
+
+    def delete_memory(self, memory: str) -> None:
+        self.engine._drop("agent_memories", memory)
+
+    def memories(self, session: str) -> DataFrame:
+        return self.engine.catalog.read("agent_memories").where(F.col("session_id") == session).orderBy("id")
+
+    def decision(self, decision: str) -> dict:
+        return self.engine._get("agent_decisions", decision)
+
+    def delete_decision(self, decision: str) -> None:
+        self.engine._drop("agent_decisions", decision)
+
+    def decisions(self, session: str) -> DataFrame:
+        return self.engine.catalog.read("agent_decisions").where(F.col("session_id") == session).orderBy("id")
+
     def sessions(self, agent_id: str | None = None, limit: int | None = None) -> DataFrame:
         rows = self.engine.catalog.read("agent_sessions")
         rows = (rows.where(F.col("agent_id") == agent_id) if agent_id else rows).orderBy("id")

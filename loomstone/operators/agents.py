@@ -130,7 +130,7 @@ def slow_queries(log: DataFrame, limit_ms: float = 100.0) -> DataFrame:
 
 
 def query_patterns(log: DataFrame) -> DataFrame:
-    """pattern, n, total, mean (whole) and longest duration."""
+    """pattern, n, total and longest duration."""
     return log.groupBy(normalize_sql(F.col("sql")).alias("pattern")).agg(F.count("*").alias("n"), F.round(F.sum("duration_ms"), 2).alias("total_ms"), F.round(F.max("duration_ms"), 2).alias("max_ms"))
 
 

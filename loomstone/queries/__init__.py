@@ -23,4 +23,4 @@ def sql(name: str, text: str, oracle: str | None = None) -> None:
     register(name, oracle or re.sub(r"\{(\w+)\}", r"\1", text))(run)
 
 
-from . import agents, graphs, indexes, relational, streams, texts, vectors  # noqa: E402, F401
+from . import agents, graphs, indexes, relational, statements, streams, texts, vectors  # noqa: E402, F401

@@ -21,11 +21,21 @@ def get_session(app: str = "loomstone", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all machines share; where the session has none, one of this machine, if all of Spark runs on it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="loomstone-")
+
+
 def cut_lineage(df):
     """Write df to the shared checkpoint folder; a folder is set only where the session has none, as in tests."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomstone-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

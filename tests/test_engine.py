@@ -16,14 +16,49 @@ def rows(df):
 
 
 def test_select_and_aggregates(engine):
-    engine.sql("CREATE TABLE mem (id VARCHAR(8) PRIMARY KEY, session_id STRING, type TEXT, content TEXT, importance FLOAT)")
-    engine.sql("INSERT INTO mem VALUES ('m1','s1','short_term','hello',0.3),('m2','s1','long_term','world',0.8),('m3','s2','short_term','foo',0.5),('m4','s2','long_term','bar',0.9)")
-    assert rows(engine.sql("SELECT COUNT(*) AS n, SUM(importance) AS s, MIN(importance) AS lo, MAX(importance) AS hi FROM mem")) == [(4, 2.5, 0.3, 0.9)]
-    assert len(rows(engine.sql("SELECT id FROM mem WHERE importance > 0.7"))) == 2
-    assert rows(engine.sql("SELECT session_id, COUNT(*) AS cnt FROM mem GROUP BY session_id HAVING cnt > 1 ORDER BY session_id")) == [("s1", 2), ("s2", 2)]
-    assert rows(engine.sql("SELECT FIRST(content) AS a, LAST(content) AS b FROM mem")) == [("hello", "bar")]
-    assert rows(engine.sql("SELECT LENGTH('né') AS n, 1 / 0 AS d, 7 % 0 AS m")) == [(3, None, None)]
-    assert rows(engine.sql('SELECT id FROM mem WHERE content LIKE "%o%" AND type IN ("short_term") ORDER BY id DESC LIMIT 1 OFFSET 1;')) == [("m1",)]
+    engine.sql("CREATE TABLE harvest (plot VARCHAR(12) PRIMARY KEY, farm STRING, crop TEXT, tonnes FLOAT)")
+    engine.sql("INSERT INTO harvest VALUES ('p10','north','barley',12.5),('p2','north','oats',4.0),('p30','south','rye',7.25),('p4','north','barley',0.25),('p51','east','oats',9.0)")
+    assert rows(engine.sql("SELECT COUNT(*) AS n, SUM(tonnes) AS s, MIN(tonnes) AS lo, MAX(tonnes) AS hi FROM harvest")) == [(5, 33.0, 0.25, 12.5)]
+    assert {r[0] for r in rows(engine.sql("SELECT plot FROM harvest WHERE tonnes > 7"))} == {"p10", "p30", "p51"}
+    assert rows(engine.sql("SELECT farm, COUNT(*) AS plots FROM harvest GROUP BY farm HAVING plots > 1")) == [("north", 3)]
+    # Keys are ordered by their bytes: p10, p2, p30, p4, p51.
+    assert rows(engine.sql("SELECT farm, FIRST(crop) AS a, LAST(crop) AS b FROM harvest GROUP BY farm ORDER BY farm")) == [("east", "oats", "oats"), ("north", "barley", "barley"), ("south", "rye", "rye")]
+    assert rows(engine.sql("SELECT FIRST(tonnes) AS a, LAST(tonnes) AS b FROM harvest")) == [(12.5, 9.0)]
+    assert rows(engine.sql('SELECT plot FROM harvest WHERE crop LIKE "%a%" AND farm IN ("north", "east") ORDER BY plot DESC LIMIT 2 OFFSET 1;')) == [("p4",), ("p2",)]
+
+
+def test_arithmetic(engine):
+    """Results are floats, remainders those of whole parts, and a zero divisor gives null."""
+    got = engine.sql("SELECT 1 + 2 AS a, 7.9 % 4 AS b, 7 % 0 AS c, 5 / 2 AS d, 9 * 7 % 5 AS e, 2 * (3 - 5) AS f, -7 % -4 AS g, 6 - -1 AS h, LENGTH('schön') AS n, 3 / 0 AS z").first()
+    assert tuple(got) == (3.0, 3.0, None, 2.5, 3.0, -4.0, -3.0, 7.0, 6, None)
+    assert all(isinstance(got[c], float) for c in "abdefgh")
+
+
+def test_texts_as_they_are(engine):
+    engine.sql("CREATE TABLE paths (id INT PRIMARY KEY, p STRING)")
+    engine.sql(r"""INSERT INTO paths VALUES (1, 'C:\new\table'), (2, 'it''s'), (3, "say ""hi"" to o'neil")""")
+    assert rows(engine.sql("SELECT p FROM paths ORDER BY id")) == [("C:\\new\\table",), ("it's",), ("say \"hi\" to o'neil",)]
+    assert rows(engine.sql(r"SELECT id FROM paths WHERE p = 'C:\new\table'")) == [(1,)]
+
+
+def test_first_of_joined_tables(engine):
+    """The first table's key orders them, by its alias where it has one."""
+    engine.sql("CREATE TABLE port (id STRING PRIMARY KEY, sea STRING)")
+    engine.sql("CREATE TABLE ship (id STRING PRIMARY KEY, port STRING, flag STRING)")
+    engine.sql("INSERT INTO port VALUES ('k', 'baltic'), ('c', 'baltic'), ('r', 'north')")
+    engine.sql("INSERT INTO ship VALUES ('1', 'k', 'se'), ('2', 'c', 'dk'), ('3', 'r', 'nl')")
+    want = [("baltic", "dk", "se"), ("north", "nl", "nl")]
+    for source, p, s_ in (("port JOIN ship ON ship.port = port.id", "port", "ship"), ("port AS a JOIN ship b ON b.port = a.id", "a", "b")):
+        assert rows(engine.sql(f"SELECT {p}.sea, FIRST({s_}.flag) AS x, LAST({s_}.flag) AS y FROM {source} GROUP BY {p}.sea ORDER BY {p}.sea")) == want
+
+
+def test_trailing_tokens(engine):
+    engine.sql("CREATE TABLE keepme (id INT PRIMARY KEY)")
+    engine.sql("CREATE INDEX byid ON keepme (id)")
+    for bad in ("DROP TABLE keepme now", "SHOW TABLES please", "SHOW INDEXES FROM keepme twice", "DROP INDEX byid too", "ALTER TABLE keepme DROP COLUMN id id", "CREATE INDEX more ON keepme (id) USING HASH fast", "DELETE FROM keepme everything"):
+        with pytest.raises(ValueError):
+            engine.sql(bad)
+    assert engine.catalog.table("keepme") and len(rows(engine.sql("SHOW INDEXES FROM keepme"))) == 1
 
 
 def test_constraints(engine):
@@ -66,62 +101,96 @@ def test_alter_show_and_reopen(engine, spark):
 
 
 def test_indexes(engine):
-    engine.sql("CREATE TABLE items (id STRING PRIMARY KEY, price FLOAT, body TEXT)")
-    engine.sql("INSERT INTO items VALUES ('a', 10, 'Hello world of databases'), ('b', 20, 'Vector search is fun'), ('c', 30, 'World of agents'), ('d', 40, '数据库系统支持向量检索和全文搜索')")
-    engine.sql("CREATE INDEX by_price ON items (price) USING BTREE")
-    engine.sql("CREATE FULLTEXT INDEX words ON items (body)")
+    engine.sql("CREATE TABLE recipes (id STRING PRIMARY KEY, minutes FLOAT, steps TEXT)")
+    engine.sql("INSERT INTO recipes VALUES ('soup', 45, 'Chop leeks, simmer slowly'), ('tart', 70, 'Roll pastry; bake with leeks'), ('tea', 4, 'Boil WATER'), ('rice', 18, '洗米煮饭然后静置')")
+    engine.sql("CREATE INDEX by_minutes ON recipes (minutes) USING BTREE")
+    engine.sql("CREATE FULLTEXT INDEX by_step ON recipes (steps)")
     key = lambda df: sorted(r["id"] for r in df.collect())
-    assert key(engine.catalog.lookup("by_price", low=15.0, high=35.0)) == ["b", "c"]
-    assert key(engine.catalog.lookup("words", match="world")) == ["a", "c"]
-    assert key(engine.catalog.lookup("words", match="world agents")) == ["c"]
-    assert key(engine.catalog.lookup("words", match="全文搜索")) == ["d"]
-    assert key(engine.catalog.lookup("words", match="!!")) == []
-    assert key(engine.sql("SELECT id FROM items WHERE MATCH(body) AGAINST('World AGENTS')")) == ["c"]
-    engine.sql("INSERT INTO items VALUES ('e', 20, 'agents of the world')")
-    assert key(engine.catalog.lookup("words", match="world agents")) == ["c", "e"]
+    assert key(engine.catalog.lookup("by_minutes", low=18.0, high=45.0)) == ["rice", "soup"]
+    assert key(engine.catalog.lookup("by_minutes", equal=4.0)) == ["tea"]
+    for asked, want in (("leeks", ["soup", "tart"]), ("LEEKS bake", ["tart"]), ("煮饭", ["rice"]), ("??", []), ("water leeks", [])):
+        assert key(engine.catalog.lookup("by_step", match=asked)) == want
+        assert key(engine.sql(f"SELECT id FROM recipes WHERE MATCH(steps) AGAINST('{asked}')")) == want
+    engine.sql("INSERT INTO recipes VALUES ('stew', 45, 'bake, then simmer leeks')")
+    assert key(engine.catalog.lookup("by_step", match="bake leeks")) == ["stew", "tart"]
     with pytest.raises(ConstraintError):
-        engine.sql("CREATE UNIQUE INDEX u ON items (price)")
-    assert [r[0] for r in engine.sql("SHOW INDEXES FROM items").collect()] == ["by_price", "words"]
-    engine.sql("DROP INDEX words")
+        engine.sql("CREATE UNIQUE INDEX once ON recipes (minutes)")
+    assert [r[0] for r in engine.sql("SHOW INDEXES FROM recipes").collect()] == ["by_minutes", "by_step"]
+    engine.sql("DROP INDEX by_step")
 
 
-def test_vectors(engine):
+def test_vectors(engine, spark):
     v = engine.vectors
-    v.create("docs", 4)
-    v.insert("docs", [("v1", [1.0, 0, 0, 0], '{"a":1}'), ("v2", [0.0, 1, 0, 0]), ("v3", [0.7, 0.7, 0, 0])])
-    assert [r["id"] for r in v.search("docs", [1.0, 0, 0, 0], 2).collect()] == ["v1", "v3"]
-    v.insert("docs", [("v2", [1.0, 0.01, 0, 0])])
-    assert [r["id"] for r in engine.sql("SELECT id FROM vector_search('docs', '[1, 0, 0, 0]', 2) ORDER BY distance").collect()] == ["v1", "v2"]
+    v.create("winds", 3)
+    v.insert("winds", [("gale", [3.0, 4.0, 0.0], '{"kind":"storm"}'), ("calm", [0.0, 0.0, 2.0]), ("breeze", [1.0, 1.0, 1.0]), ("calm", [0.0, 0.0, 5.0])])
+    assert v.info("winds")["size"] == 3
+    assert [r["id"] for r in v.search("winds", [0.6, 0.8, 0.0], 2).collect()] == ["gale", "breeze"]
+    v.insert("winds", spark.createDataFrame([("breeze", [6.0, 8.0, 0.5], None), ("breeze", [6.0, 8.0, 0.5], None)], "id string, vector array<float>, payload string"))
+    assert [r["id"] for r in engine.sql("SELECT id FROM vector_search('winds', '[3, 4, 0]', 2) ORDER BY distance").collect()] == ["gale", "breeze"]
+    with pytest.raises(ValueError):
+        v.insert("winds", [("flat", [1.0, 2.0])])
+    with pytest.raises(ValueError):
+        v.search("tides", [1.0], 1)
+    v.delete("winds", ["gale"])
+    assert v.info("winds")["size"] == 2 and v.list() == ["winds"]
+    got = engine.sql("SELECT from_json('[3,4]', 'array<double>') <-> '[-4, 3]' AS far, from_json('[3,4]', 'array<double>') <-> '[6, 8]' AS near").first()
+    assert abs(got["far"] - 1) < 1e-12 and abs(got["near"]) < 1e-12
+
+
+def test_graph_facade(engine):
+    g = engine.graph
+    g.add_nodes([("oslo", "city", "Oslo"), ("rome", "city", "Rom"), ("rome", "city", "Rome"), ("kyiv", "city", "Kyiv")])
+    g.add_edges([("e1", "rail", "oslo", "rome"), ("e2", "rail", "rome", "kyiv"), ("e2", "road", "rome", "kyiv")])
+    assert g.node("rome")["name"] == "Rome" and g.edge("e2")["type"] == "road"
+    assert sorted((r["id"], r["depth"]) for r in g.within("oslo", 2).collect()) == [("kyiv", 2), ("rome", 1)]
+    g.delete_edge("e2")
     with pytest.raises(ValueError):
-        v.insert("docs", [("v4", [1.0])])
+        g.shortest_path("oslo", "kyiv")
     with pytest.raises(ValueError):
-        v.search("nothing", [1.0], 1)
-    v.delete("docs", ["v1"])
-    assert v.info("docs")["size"] == 2 and v.list() == ["docs"]
-    engine.sql("CREATE TABLE e (id STRING, v STRING)")
-    got = engine.sql("SELECT from_json('[1,0]', 'array<double>') <-> '[0, 1]' < 0.5 AS near, from_json('[1,0]', 'array<double>') <-> '[2, 0]' AS d").first()
-    assert got["near"] is False and abs(got["d"]) < 1e-12
+        g.edge("e2")
 
 
 def test_agents_and_lineage(engine):
-    s = engine.agents.create_session("a1")
-    engine.agents.move_session(s, "paused")
+    a = engine.agents
+    s = a.create_session("pilot", {"lang": "nb", "zone": "CET"})
+    a.update_session(s, {"lang": "sv"}, {"tier": "gold"})
+    assert (a.session(s)["context"], a.session(s)["metadata"]) == ({"lang": "sv", "zone": "CET"}, {"tier": "gold"})
+    a.move_session(s, "completed")
     with pytest.raises(ValueError):
-        engine.agents.move_session(s, "completed")
-    for kind, imp in (("short_term", 0.3), ("short_term", 0.5), ("long_term", 0.8), ("working", 1.0)):
-        engine.agents.store_memory(s, "text", kind, imp)
-    stats = engine.agents.memory_stats().first()
-    assert (stats["total"], stats["short_term"], stats["long_term"], stats["working"]) == (4, 2, 1, 1)
-    assert [r["importance"] for r in engine.sql(f"SELECT importance FROM agent_recall('{s}', 2)").collect()] == [1.0, 0.8]
-    root = engine.agents.record_decision(s, "plan", duration_ms=100)
-    for _ in range(2):
-        engine.agents.record_decision(s, "act", root, 50)
-    assert engine.agents.decision_tree(root).count() == 3
-    for d, src in (("raw-1", []), ("raw-2", []), ("derived-1", ["raw-1", "raw-2"]), ("final-1", ["derived-1", "gone"])):
-        engine.lineage.record(d, "x", src, ["dec-1"] if d == "raw-1" else [])
-    up = engine.lineage.upstream("final-1").collect()
-    assert max(r["depth"] for r in up) == 3 and len(up) == 4
-    assert [r["data_id"] for r in engine.lineage.by_decision("dec-1").collect()] == ["raw-1"]
+        a.move_session(s, "paused")
+    kept = [a.store_memory(s, f"note {i}", kind, weight) for i, (kind, weight) in enumerate((("working", 0.2), ("long_term", 0.6), ("working", 0.9)))]
+    stats = a.memory_stats().first()
+    assert (stats["total"], stats["short_term"], stats["long_term"], stats["working"]) == (3, 0, 1, 2)
+    assert [r["importance"] for r in engine.sql(f"SELECT importance FROM agent_recall('{s}', 2)").collect()] == [0.9, 0.6]
+    assert [a.memory(kept[1])["access_count"] for _ in range(2)] == [1, 2]
+    a.delete_memory(kept[0])
+    assert [r["id"] for r in a.memories(s).collect()] == kept[1:]
+    top = a.record_decision(s, "choose", duration_ms=7)
+    step = a.record_decision(s, "try", top, 11)
+    a.record_decision(s, "retry", step, 13)
+    assert a.decision_tree(top).count() == 3 and a.decision(step)["duration_ms"] == 11 and a.decisions(s).count() == 3
+    a.delete_decision(step)
+    assert a.decision_tree(top).count() == 1
+    a.delete_session(s)
+    for gone in (lambda: a.session(s), lambda: a.delete_session(s), lambda: a.decision(step), lambda: a.memory(kept[0])):
+        with pytest.raises(ValueError):
+            gone()
+    for d, src in (("scan", []), ("sensor", []), ("map", ["scan", "sensor"]), ("atlas", ["map", "missing"])):
+        engine.lineage.record(d, "file", src, ["pick-7"] if d == "sensor" else [])
+    assert sorted(r["data_id"] for r in engine.lineage.upstream("atlas").collect()) == ["atlas", "map", "scan", "sensor"]
+    assert [r["data_id"] for r in engine.lineage.by_decision("pick-7").collect()] == ["sensor"]
+
+
+def test_idle_sessions(engine, monkeypatch):
+    import datetime
+
+    a = engine.agents
+    old = a.create_session("night")
+    now = a._now()
+    monkeypatch.setattr(a, "_now", lambda: now + datetime.timedelta(hours=30))
+    new = a.create_session("night")
+    assert a.expire("24 hours") == 1 and a.expire("24 hours") == 0
+    assert (a.session(old)["state"], a.session(new)["state"]) == ("failed", "active")
 
 
 def test_uuid7_rises():
