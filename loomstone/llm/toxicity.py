@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ SAMPLE, SAMPLE_BYTES = 10_000, 48 << 20
 DIM = 1 << 17
 EPOCHS, RATE, L2, BATCH, MIN_DOCS = 20, 0.8, 0.05, 256, 8
 PREFIXES = range(3, 7)
+#: Words whose parts the fit remembers at a time; more are worked out anew.
+KNOWN = 60_000
 SENTENCE = re.compile(r"[.!?\n。！？]+")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -57,36 +60,51 @@ def spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights and bias by AdaGrad on the noisy-or likelihood. Documents are taken in a fixed, shuffled order."""
-    # Parts that few documents have explain a label only by chance; they keep weight 0.
-    index: dict[str, np.ndarray] = {}
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of all sentences' words, one sentence after another, the length of each sentence and the sentences of each document. Kept as plain numbers; only KNOWN words
+    are remembered at a time. Parts that few documents have would explain a label only by chance, so they are left out."""
+    known: dict[str, list[int]] = {}
+    often = np.ones(DIM, dtype=bool)
+
+    def of(word: str) -> list[int]:
+        got = known.get(word)
+        if got is None:
+            if len(known) >= KNOWN:
+                known.clear()
+            got = known[word] = [p for p in parts(word) if often[p]]
+        return got
+
     in_docs = np.zeros(DIM, dtype=np.int64)
     for text in texts:
-        words = set(WORD.findall(text.lower()))
-        index |= {w: np.array(parts(w), dtype=np.int32) for w in words if w not in index}
-        if words:
-            in_docs[np.unique(np.concatenate([index[w] for w in words]))] += 1
-    index = {w: p[in_docs[p] >= MIN_DOCS] for w, p in index.items()}
-    feats, sent_len, doc_len = [], [], []
+        if words := set(WORD.findall(text.lower())):
+            in_docs[list({p for w in words for p in of(w)})] += 1
+    known.clear()
+    often = in_docs >= MIN_DOCS
+    flat, sent_len, doc_len = array("i"), array("q"), array("q")
     for text in texts:
         rows = sentences(text)
         doc_len.append(len(rows))
         for words in rows:
-            feats.append(np.concatenate([index[w] for w in words]))
-            sent_len.append(len(feats[-1]))
+            at = len(flat)
+            for w in words:
+                flat.extend(of(w))
+            sent_len.append(len(flat) - at)
+    return tuple(np.array(x) for x in (flat, sent_len, doc_len))
+
+
+def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Weights and bias by AdaGrad on the noisy-or likelihood. Documents are taken in a fixed, shuffled order."""
+    flat, sent_len, doc_len = features(texts)
     weights, bias = np.zeros(DIM), -4.0
-    if not feats:
+    if not len(sent_len):
         return weights, -20.0 if not labels.any() else bias
-    flat = np.concatenate(feats)
-    del feats, index
     sent_at = np.concatenate([[0], np.cumsum(sent_len)])
     doc_at = np.concatenate([[0], np.cumsum(doc_len)])
     g2, b2 = np.full(DIM, 0.1), 10.0
     rng = np.random.default_rng(7)
     y_all = labels.astype(float)
     for _ in range(epochs):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(doc_len))
         for at in range(0, len(order), BATCH):
             docs = [d for d in order[at : at + BATCH] if doc_len[d]]
             if not docs:
