@@ -9,6 +9,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.collaboration import Audit, Roles, Rooms, Tasks
 from loomstone.functions.vectors import parse_vector
 from loomstone.operators import agents, graph, lineage, rag, vector
 from loomstone.plans.catalog import Catalog, CatalogError, Column
@@ -41,6 +42,7 @@ class Engine:
         self.graph = Graph(self)
         self.agents = Agents(self)
         self.lineage = Lineage(self)
+        self.tasks, self.rooms, self.audit, self.roles = Tasks(self), Rooms(self), Audit(self), Roles(self)
         self.log: list[tuple[str, float]] = []
         self.dialect = Dialect(
             self.catalog,
@@ -49,6 +51,7 @@ class Engine:
                 "graph_bfs": lambda start, depth, direction="out": self.graph.within(start, depth, direction),
                 "graph_shortest_path": lambda a, b, direction="both": self.graph.shortest_path(a, b, direction),
                 "agent_recall": lambda session, limit=10, kind=None: self.agents.recall(session, kind, limit),
+                "agent_record_decision": lambda session, kind, parent=None, duration_ms=0: self.spark.createDataFrame([(self.agents.record_decision(session, kind, parent, duration_ms),)], "id string"),
             },
         )
 
@@ -60,15 +63,27 @@ class Engine:
         return out
 
     def stats(self) -> DataFrame:
+        """The last 1000 statements with their durations."""
         return self.spark.createDataFrame(self.log, "sql string, duration_ms double")
 
+    def slow_queries(self, limit_ms: float = 100.0) -> DataFrame:
+        return agents.slow_queries(self.stats(), limit_ms)
+
+    def top_patterns(self, limit: int = 10) -> DataFrame:
+        return agents.query_patterns(self.stats()).orderBy(F.desc("n"), "pattern").limit(limit)
+
+    def query_summary(self, limit_ms: float = 100.0) -> DataFrame:
+        return agents.query_summary(self.stats(), limit_ms)
+
+    def new_id(self) -> str:
+        return uuid7()
+
     def _append(self, table: str, row: dict) -> str:
         t = self.catalog.table(table)
         row = {c.name: row.get(c.name) for c in t.columns}
         self.catalog.insert(table, self.spark.createDataFrame([tuple(row.values())], t.schema))
         return row.get(t.key)
 
-
     def _get(self, table: str, key, _=None) -> dict:
         """The row of a key."""
         rows = self.catalog.read(table).where(F.col(self.catalog.table(table).key) == key).limit(1).collect()
@@ -196,6 +211,9 @@ class Lineage:
     def record(self, data_id: str, source_type: str, source_ids: list[str], decision_ids: list[str] | None = None) -> str:
         return self.engine._append("data_lineage", {"data_id": data_id, "source_type": source_type, "source_ids": source_ids, "decision_ids": decision_ids or []})
 
+    def get(self, data_id: str) -> dict:
+        return self.engine._get("data_lineage", data_id)
+
     def upstream(self, data_id: str, depth: int = 10) -> DataFrame:
         return lineage.upstream(self.engine.catalog.read("data_lineage"), data_id, depth)
 
@@ -296,11 +314,27 @@ class Agents:
     def decision_tree(self, root: str) -> DataFrame:
         return lineage.tree(self.engine.catalog.read("agent_decisions"), root)
 
-    def ingest(self, name: str, docs: DataFrame, id_col: str, text_col: str, embed, size: int = 500) -> None:
-        """Chunk documents and put their vectors (embed: Column to Column) into an index; the payload holds the chunk."""
+    def ingest(self, name: str, docs: DataFrame, id_col: str, text_col: str, embed, size: int = 500, session: str | None = None) -> None:
+        """Chunk documents and put their vectors (embed: Column to Column) into an index; the payload holds the chunk. With a session
+        the chunks become its long-term memories as well, by the same ids; those of known ids are replaced."""
         chunks = rag.chunk_sentences(docs, id_col, text_col, size)
         rows = chunks.select(F.concat_ws("#", id_col, "chunk_index").alias("id"), embed(F.col("chunk")).alias("vector"), F.col("chunk").alias("payload"))
         self.engine.vectors.insert(name, rows)
+        if session:
+            now = F.lit(self._now())
+            new = rows.select("id", F.lit(session).alias("session_id"), F.lit("long_term").alias("type"), F.col("payload").alias("content"), F.lit(0.5).alias("importance"), F.lit(0).cast("long").alias("access_count"),
+                              F.lit([]).cast("array<string>").alias("associations"), F.col("vector").cast("array<float>").alias("embedding"), now.alias("created_at"), now.alias("accessed_at"))
+            old = self.engine.catalog.read("agent_memories")
+            if old.join(new.select("id"), "id", "left_semi").isEmpty():
+                self.engine.catalog.insert("agent_memories", new)
+            else:
+                self.engine.catalog.replace("agent_memories", vector.upsert(old, new))
+
+    def search_memories(self, name: str, query, k: int = 10) -> DataFrame:
+        """The memories nearest to a vector by an index over their ids, best first."""
+        self.engine.vectors._meta(name)
+        index = self.engine.catalog.read(self.engine.vectors._table(name))
+        return rag.semantic_search(self.engine.catalog.read("agent_memories").select("id", "session_id", "type", "content"), index, query, k).orderBy("distance", "id")
 
 
 __all__ = ["Engine", "literal", "parse_vector", "tokenize", "uuid7"]

@@ -105,6 +105,18 @@ def tasks_by_agent(tasks: DataFrame, agent: str, status: str, limit: int) -> Dat
     return tasks.where((F.col("agent_id") == agent) & (F.col("status") == status)).orderBy("id").limit(limit)
 
 
+def audit_of(audit: DataFrame, agent_id=None, operation: str | None = None) -> DataFrame:
+    """The events of an agent, of an operation, or of both."""
+    for column, value in (("agent_id", agent_id), ("operation", operation)):
+        audit = audit if value is None else audit.where(F.col(column) == value)
+    return audit
+
+
+def audit_summary(audit: DataFrame) -> DataFrame:
+    """For each operation: n, how many went well, and the mean duration."""
+    return audit.groupBy("operation").agg(F.count("*").alias("n"), F.count_if("success").alias("ok"), F.round(F.avg("duration_ms"), 6).alias("mean_ms"))
+
+
 def audit_recent(audit: DataFrame, since, limit: int) -> DataFrame:
     return audit.where(F.col("at") >= F.lit(since).cast("timestamp_ntz")).orderBy(F.desc("at"), F.desc("id")).limit(limit)
 

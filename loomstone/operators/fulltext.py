@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions.expr import fold_key
@@ -40,5 +40,14 @@ def match_index(df: DataFrame, postings: DataFrame, row_id: str, query: str) ->
 
 def unique_violations(df: DataFrame, column: str, fold: bool = True) -> DataFrame:
     """(key, n) of keys that stand in several rows; nulls are a key too, and strings are compared with A-Z folded."""
-    key = fold_key(F.col(column).cast("string")) if fold and dict(df.dtypes)[column] == "string" else F.col(column)
-    return df.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+    return df.groupBy(_unique_key(df, column, fold).alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def unique_clashes(old: DataFrame, new: DataFrame, column: str) -> DataFrame:
+    """The keys, as in unique_violations, that new rows share with old ones."""
+    keys = new.select(_unique_key(new, column).alias("key")).distinct()
+    return keys.join(old.select(_unique_key(old, column).alias("old")), F.expr("key <=> old"), "left_semi")
+
+
+def _unique_key(df: DataFrame, column: str, fold: bool = True) -> Column:
+    return fold_key(F.col(column).cast("string")) if fold and dict(df.dtypes)[column] == "string" else F.col(column)

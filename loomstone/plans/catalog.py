@@ -24,6 +24,8 @@ BUILT_IN = {
 }
 ALIASES = {"sessions": "agent_sessions", "memories": "agent_memories", "decisions": "agent_decisions", "entities": "knowledge_entities", "relations": "knowledge_relations", "lineage": "data_lineage"}
 INDEX_KINDS = ("HASH", "BTREE", "INVERTED")
+#: Folders that a table or index has at most; before one more, all but the first are merged.
+PARTS = 64
 
 
 class CatalogError(ValueError):
@@ -58,6 +60,8 @@ class Table:
     columns: list[Column]
     version: int = 0
     built_in: bool = False
+    #: The versions whose folders together hold the rows.
+    parts: list[int] = field(default_factory=list)
 
     @property
     def schema(self) -> T.StructType:
@@ -81,6 +85,7 @@ class Index:
     column: str
     type: str = "BTREE"
     unique: bool = False
+    parts: list[int] = field(default_factory=list)
 
 
 @dataclass
@@ -111,7 +116,7 @@ class Catalog:
         if not self._fs.exists(path):
             return None
         got = json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/manifest.json", wholetext=True).collect()))
-        tables = {k: Table(v["name"], [Column(**c) for c in v["columns"]], v["version"], v["built_in"]) for k, v in got["tables"].items()}
+        tables = {k: Table(v["name"], [Column(**c) for c in v["columns"]], v["version"], v["built_in"], v["parts"]) for k, v in got["tables"].items()}
         return State(tables, {k: Index(**v) for k, v in got["indexes"].items()})
 
     def _save(self, state: State) -> None:
@@ -146,7 +151,10 @@ class Catalog:
         t = self.table(name)
         if not t.version:
             return self.spark.createDataFrame([], t.schema)
-        return self.spark.read.schema(t.schema).parquet(f"{self.root}/table/{t.name}/v={t.version}")
+        return self.spark.read.schema(t.schema).parquet(*self._folders("table", t.name, t.parts))
+
+    def _folders(self, kind: str, name: str, parts: list[int]) -> list[str]:
+        return [f"{self.root}/{kind}/{name}/v={p}" for p in parts]
 
     def index_table(self, name: str) -> DataFrame:
         i = self._index(name)
@@ -155,7 +163,7 @@ class Catalog:
         if not t.version:
             key = "term string" if i.type == "INVERTED" else f"key {kind[i.column]}, folded {kind[i.column]}"
             return self.spark.createDataFrame([], f"{key}, row_id {kind[t.key]}")
-        return self.spark.read.parquet(f"{self.root}/index/{name}/v={t.version}")
+        return self.spark.read.parquet(*self._folders("index", name, i.parts))
 
     def _index(self, name: str) -> Index:
         if name not in self.state.indexes:
@@ -169,14 +177,46 @@ class Catalog:
         state = copy.deepcopy(self.state)
         t = copy.deepcopy(table or self.table(name))
         t.version = self.table(name).version + 1
+        t.parts = [t.version]
         state.tables[t.name] = t
-        folder = f"{self.root}/table/{t.name}/v={t.version}"
-        rows.select(*[F.col(c.name).cast(c.spark).alias(c.name) for c in t.columns]).write.mode("overwrite").parquet(folder)
-        new = self.spark.read.schema(t.schema).parquet(folder)
+        new = self._write(t, rows)
         for i in state.indexes.values():
             if i.table == t.name:
                 self._build(i, t, new)
+                i.parts = [t.version]
+        self._save(state)
+
+    def append(self, name: str, rows: DataFrame) -> int:
+        """Write rows as one more folder of the table and of its indexes; the folders before it stay as they are. How many rows."""
+        state = copy.deepcopy(self.state)
+        t = state.tables[self.table(name).name]
+        mine = [i for i in state.indexes.values() if i.table == t.name]
+        if len(t.parts) >= PARTS:
+            t.version += 1
+            self.spark.read.schema(t.schema).parquet(*self._folders("table", t.name, t.parts[1:])).write.mode("overwrite").parquet(f"{self.root}/table/{t.name}/v={t.version}")
+            t.parts = [t.parts[0], t.version]
+            for i in mine:
+                if len(i.parts) > 2:
+                    side = self.spark.read.parquet(*self._folders("index", i.name, i.parts[1:]))
+                    side.sortWithinPartitions(side.columns[0]).write.mode("overwrite").parquet(f"{self.root}/index/{i.name}/v={t.version}")
+                    i.parts = [i.parts[0], t.version]
+        old = self.read(t.name)
+        t.version += 1
+        t.parts.append(t.version)
+        new = self._write(t, rows)
+        for i in mine:
+            if i.unique and not fulltext.unique_clashes(old, new, i.column).isEmpty():
+                raise ConstraintError(f"index {i.name}: values are not unique")
+            self._build(i, t, new)
+            i.parts.append(t.version)
         self._save(state)
+        return new.count()
+
+    def _write(self, t: Table, rows: DataFrame) -> DataFrame:
+        """Write rows as the folder of the table's version, and read them again."""
+        folder = f"{self.root}/table/{t.name}/v={t.version}"
+        rows.select(*[F.col(c.name).cast(c.spark).alias(c.name) for c in t.columns]).write.mode("overwrite").parquet(folder)
+        return self.spark.read.schema(t.schema).parquet(folder)
 
     def _build(self, i: Index, t: Table, rows: DataFrame) -> None:
         if i.unique and not fulltext.unique_violations(rows, i.column).isEmpty():
@@ -254,6 +294,7 @@ class Catalog:
         i = Index(name, t.name, column, kind, unique)
         if t.version:
             self._build(i, t, self.read(t.name))
+            i.parts = [t.version]
         state = copy.deepcopy(self.state)
         state.indexes[name] = i
         self._save(state)
@@ -302,12 +343,9 @@ class Catalog:
                 given = F.coalesce(given, F.expr("uuid()"))
             cols.append(given.cast(c.spark).alias(c.name))
         new = self.checked(t, rows.select(*cols))
-        both = self.read(name).unionByName(new)
         if t.key and not new.groupBy(t.key).count().where("count > 1").isEmpty() or t.key and not new.join(self.read(name), t.key, "left_semi").isEmpty():
             raise ConstraintError(f"duplicate key in {t.name}")
-        n = new.count()
-        self.replace(name, both)
-        return n
+        return self.append(name, new)
 
     def update(self, name: str, changes: dict[str, F.Column], where: F.Column) -> int:
         """Set columns of the rows where the condition is true; all values are those of the row before."""

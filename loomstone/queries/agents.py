@@ -128,12 +128,12 @@ def task_by_agent(spark, d):
 
 @register("audit_by_agent", f"SELECT id, operation, success FROM {AUDIT_SQL} WHERE agent_id = 'agent-5'")
 def audit_by_agent(spark, d):
-    return audit(spark, d).where("agent_id = 'agent-5'").select("id", "operation", "success")
+    return agents.audit_of(audit(spark, d), agent_id="agent-5").select("id", "operation", "success")
 
 
 @register("audit_by_operation", f"SELECT operation, count(*) AS n, count_if(success)::BIGINT AS ok, round(avg(duration_ms), 6) AS mean_ms FROM {AUDIT_SQL} GROUP BY operation")
 def audit_by_operation(spark, d):
-    return audit(spark, d).groupBy("operation").agg(F.count("*").alias("n"), F.count_if("success").alias("ok"), F.round(F.avg("duration_ms"), 6).alias("mean_ms"))
+    return agents.audit_summary(audit(spark, d))
 
 
 @register("audit_recent", f"SELECT id, \"at\" FROM {AUDIT_SQL} WHERE \"at\" >= TIMESTAMP '2024-01-20 00:00:00' ORDER BY \"at\" DESC, id DESC LIMIT 25")
@@ -170,9 +170,9 @@ def stats_slow(spark, d):
     return agents.slow_queries(query_log(spark, d)).select("event_id", "duration_ms")
 
 
-@register("stats_top_patterns", "SELECT 'SELECT * FROM t' || (user_id % 3) || ' WHERE id = ? AND s = ? AND x < ?' AS pattern, count(*) AS n, round(sum(value), 2) AS total_ms, round(max(value), 2) AS max_ms FROM events GROUP BY 1 ORDER BY n DESC LIMIT 10")
+@register("stats_top_patterns", "SELECT 'SELECT * FROM t' || (user_id % 3) || ' WHERE id = ? AND s = ? AND x < ?' AS pattern, count(*) AS n, round(sum(value), 2) AS total_ms, round(max(value), 2) AS max_ms FROM events GROUP BY 1 ORDER BY n DESC, pattern LIMIT 10")
 def stats_top_patterns(spark, d):
-    return agents.query_patterns(query_log(spark, d)).orderBy(F.desc("n")).limit(10)
+    return agents.query_patterns(query_log(spark, d)).orderBy(F.desc("n"), "pattern").limit(10)
 
 
 @register("stats_summary", "SELECT count(*) AS n, count_if(value > 100)::BIGINT AS slow, round(avg(value), 4) AS avg_ms, round(max(value), 2) AS max_ms FROM events")

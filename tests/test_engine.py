@@ -119,6 +119,144 @@ def test_indexes(engine):
     engine.sql("DROP INDEX by_step")
 
 
+def test_queries_read_indexes(engine):
+    """Equality, ranges and MATCH scan the index's folder; conditions that not all rows must fulfil do not; rows are the same either way."""
+    engine.sql("CREATE TABLE lamps (id STRING PRIMARY KEY, watts INT, note TEXT)")
+    engine.sql("INSERT INTO lamps VALUES ('a', 5, 'warm white'), ('b', 9, 'cold white'), ('c', NULL, 'red')")
+    engine.sql("INSERT INTO lamps VALUES ('d', 9, 'warm red'), ('e', 12, NULL)")
+    asked = {
+        "SELECT id FROM lamps WHERE watts = 9": "w_tree",
+        "SELECT id FROM lamps l WHERE l.watts > 5 AND id <> 'e'": "w_tree",
+        "SELECT id FROM lamps AS l WHERE l.watts BETWEEN 5 AND 9 AND note LIKE '%white' ORDER BY id": "w_tree",
+        "SELECT id FROM lamps WHERE MATCH(note) AGAINST('WARM') LIMIT 9": "n_words",
+        "SELECT id FROM lamps WHERE MATCH(note) AGAINST('red') AND watts >= 9": "n_words",
+        "SELECT id FROM lamps WHERE watts = 9 OR id = 'a'": None,
+        "SELECT id FROM lamps WHERE NOT watts = 9": None,
+        "SELECT id FROM lamps WHERE watts NOT BETWEEN 6 AND 9": None,
+        "SELECT id FROM lamps WHERE watts = '9'": None,
+        "SELECT COUNT(*) FILTER (WHERE watts = 9) AS id FROM lamps": None,
+        "SELECT a.id FROM lamps a JOIN lamps b ON a.watts = b.watts WHERE a.watts = 5": None,
+    }
+    before = {q: sorted(rows(engine.sql(q))) for q in asked}
+    engine.sql("CREATE INDEX w_tree ON lamps (watts)")
+    engine.sql("CREATE FULLTEXT INDEX n_words ON lamps (note)")
+    for q, index in asked.items():
+        got = engine.sql(q)
+        assert sorted(rows(got)) == before[q], q
+        assert {x for x in ("w_tree", "n_words") if any(f"/index/{x}/" in f for f in got.inputFiles())} == ({index} if index else set()), q
+    engine.sql("INSERT INTO lamps VALUES ('f', 9, 'warm')")
+    assert sorted(rows(engine.sql("SELECT id FROM lamps WHERE watts = 9"))) == [("b",), ("d",), ("f",)]
+    engine.sql("UPDATE lamps SET watts = 10 WHERE id = 'f'")
+    engine.sql("DELETE FROM lamps WHERE id = 'b'")
+    assert rows(engine.sql("SELECT id FROM lamps WHERE watts = 9")) == [("d",)]
+
+
+def test_inserts_write_new_rows_only(engine, spark, monkeypatch):
+    """Folders of older rows stay; beyond PARTS all but the first are merged; unique indexes hold over folders."""
+    from loomstone.plans import catalog
+
+    monkeypatch.setattr(catalog, "PARTS", 3)
+    engine.sql("CREATE TABLE log (id INT PRIMARY KEY, word STRING)")
+    engine.sql("CREATE UNIQUE INDEX once ON log (word)")
+    files = [set()]
+    for k in range(6):
+        assert engine.sql(f"INSERT INTO log VALUES ({k}, 'w{k}')").first()[0] == 1
+        files.append(set(engine.catalog.read("log").inputFiles()))
+        if k in (1, 2):
+            assert files[-2] < files[-1]
+    assert len(engine.catalog.table("log").parts) <= 3 and len(engine.catalog.state.indexes["once"].parts) <= 3
+    for bad in ("INSERT INTO log VALUES (9, 'W0')", "INSERT INTO log VALUES (3, 'new')"):
+        with pytest.raises(ConstraintError):
+            engine.sql(bad)
+    again = Engine(spark, engine.catalog.root)
+    assert sorted(rows(again.sql("SELECT * FROM log"))) == [(k, f"w{k}") for k in range(6)]
+    assert [r["id"] for r in again.catalog.lookup("once", equal="w4").collect()] == [4]
+
+
+def test_tasks(engine):
+    t = engine.tasks
+    assert t.dequeue() is None
+    late, first, other = t.enqueue("baker", "knead", 5), t.enqueue("baker", "sift", 1, {"kg": 2}), t.enqueue("cook", "boil", 1)
+    waits = t.enqueue("baker", "bake", 0, depends_on=[late])
+    t.cancel(other)
+    assert t.dequeue(ready_only=True)["id"] == first and t.dequeue()["id"] == waits
+    got = t.dequeue()
+    assert (got["id"], got["status"]) == (late, "running") and t.dequeue() is None and t.pending() == 0
+    t.complete(first, {"ok": True})
+    t.fail(late, "no flour")
+    done, failed = t.task(first), t.task(late)
+    assert (done["status"], done["result"]) == ("completed", '{"ok": true}') and done["duration_ms"] >= 0 and done["ended_at"] >= done["started_at"]
+    assert (failed["status"], failed["error"]) == ("failed", "no flour")
+    assert [r["id"] for r in t.by_agent("cook", "cancelled").collect()] == [other]
+    with pytest.raises(ValueError):
+        t.complete("nothing")
+
+
+def test_rooms(engine):
+    r = engine.rooms
+    room = r.create("harbour", "ada")
+    r.join(room, "bo")
+    for bad in (lambda: r.join(room, "bo"), lambda: r.send(room, "cy", "hi"), lambda: r.leave(room, "cy"), lambda: r.join("nowhere", "bo"), lambda: r.share_memory(room, "cy", "x")):
+        with pytest.raises(ValueError):
+            bad()
+    r.send(room, "bo", "tide at six")
+    assert r.share_memory(room, "ada", "the quay is shut", 0.75) == 2
+    r.leave(room, "bo")
+    assert [(m["agent_id"], m["type"]) for m in r.messages(room).collect()] == [("bo", "text"), ("ada", "shared_memory")]
+    assert [(m["agent_id"], m["role"]) for m in r.members(room).collect()] == [("ada", "owner")]
+    for agent in ("ada", "bo"):
+        assert [(m["type"], m["content"], m["importance"]) for m in engine.agents.memories(agent).collect()] == [("working", "the quay is shut", 0.75)]
+    assert r.list().count() == 1 and r.room(room)["updated_at"] >= r.room(room)["created_at"]
+
+
+def test_roles(engine):
+    p = engine.roles
+    assert [r["name"] for r in p.list().collect()] == ["admin", "observer", "reader", "writer"]
+    p.assign("kim", "writer")
+    p.assign("kim", "writer")
+    p.assign("lou", "observer")
+    p.assign("max", "admin")
+    assert p.of("kim") == ["writer"]
+    asked = [("kim", "task", "write", True), ("kim", "query", "read", True), ("kim", "query", "write", False), ("kim", "audit", "read", False), ("lou", "audit", "read", True), ("max", "permission", "admin", True), ("noone", "task", "read", False)]
+    for agent, resource, action, want in asked:
+        assert p.check(agent, resource, action) is want, (agent, resource, action)
+    p.create("gate", [("room", "admin", "east-*")])
+    p.assign("lou", "gate")
+    assert p.check("lou", "room", "write", "east-4") and not p.check("lou", "room", "write", "west-4")
+    p.revoke("lou", "gate")
+    p.delete("gate")
+    for bad, kind in ((lambda: p.require("lou", "room", "write", "east-4"), PermissionError), (lambda: p.assign("lou", "gate"), ValueError), (lambda: p.delete("gate"), ValueError)):
+        with pytest.raises(kind):
+            bad()
+
+
+def test_audit_and_statistics(engine):
+    a = engine.audit
+    first = a.record("kim", "write", "memory", duration_ms=4, detail={"n": 1})
+    a.record("kim", "read", success=False, duration_ms=8)
+    last = a.record("lou", "read", duration_ms=2)
+    assert a.event(first)["detail"] == '{"n": 1}' and [r["operation"] for r in a.by_agent("kim").collect()] == ["write", "read"]
+    assert [r["id"] for r in a.recent("2020-01-01 00:00:00", 1).collect()] == [last] and a.by_operation("read").count() == 2
+    assert sorted(rows(a.summary())) == [("read", 2, 1, 5.0), ("write", 1, 1, 4.0)]
+    for n in (1, 2, 3):
+        engine.sql(f"SELECT {n} AS x")
+    assert engine.top_patterns(1).first()["n"] == 3 and engine.query_summary(0.0).first()["n"] == 3 and engine.slow_queries(1e9).isEmpty()
+
+
+def test_ingested_documents_become_memories(engine, spark):
+    from pyspark.sql import functions as F
+
+    engine.vectors.create("notes", 2)
+    docs = spark.createDataFrame([("d1", "Rain fell on the hills. It rained on."), ("d2", "Dust.")], "doc string, body string")
+    embed = lambda c: F.array(F.char_length(c).cast("float"), F.lit(1.0).cast("float"))
+    for _ in range(2):  # those of known ids are replaced
+        engine.agents.ingest("notes", docs, "doc", "body", embed, 25, session="s1")
+    kept = engine.agents.memories("s1").collect()
+    assert [(m["id"], m["type"], m["importance"]) for m in kept] == [("d1#0", "long_term", 0.5), ("d1#1", "long_term", 0.5), ("d2#0", "long_term", 0.5)]
+    assert engine.agents.search_memories("notes", [5.0, 1.0], 1).first()["content"] == "Dust."
+    assert engine.sql("SELECT id FROM agent_record_decision('s1', 'choose')").count() == 1 and engine.agents.decisions("s1").count() == 1
+
+
 def test_vectors(engine, spark):
     v = engine.vectors
     v.create("winds", 3)
