@@ -45,9 +45,14 @@ for _k in (1, 2, 3):
     _hop(_k)
 
 
-@register("graph_shortest_path_len", _DEPTHS.format(k=6) + " SELECT depth + 1 AS length FROM near WHERE id = 's:7'")
-def graph_shortest_path_len(spark, d):
-    return graph.shortest_path(*_graph(spark, d), "c:1", "s:7", "both").select(F.col("length").cast("int").alias("length"))
+def _path_len(name: str, end: str):
+    @register(name, _DEPTHS.format(k=6) + f" SELECT depth + 1 AS length FROM near WHERE id = '{end}'")
+    def run(spark, d):
+        return graph.shortest_path(*_graph(spark, d), "c:1", end, "both").select(F.col("length").cast("int").alias("length"))
+
+
+_path_len("graph_shortest_path_len", "n:14")
+_path_len("graph_shortest_path_none", "s:7")
 
 
 @register("graph_find_by_type", f"WITH {EDGES_SQL} SELECT * FROM nodes WHERE type = 'nation' ORDER BY id LIMIT 10")

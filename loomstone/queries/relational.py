@@ -59,6 +59,13 @@ sql("topk", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice
 sql("fn_upper_lower", "SELECT c_custkey, upper(c_name) AS up, lower(c_mktsegment) AS low FROM {customer}")
 sql("fn_coalesce", "SELECT d.doc_id, coalesce(l.quality, -1) AS quality FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id")
 sql("set_union_except", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier} EXCEPT SELECT n_nationkey FROM {nation} WHERE n_regionkey = 0")
+sql("set_intersect", "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}")
+sql("agg_filter", "SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, max(o_totalprice) FILTER (WHERE o_orderstatus <> 'F') AS open_max FROM {orders} GROUP BY o_custkey")
+sql("grouping_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY CUBE (l_returnflag, l_linestatus)")
+sql("join_right", "SELECT l.quality, d.doc_id FROM {labels} l RIGHT JOIN {documents} d ON d.doc_id = l.doc_id AND l.toxic = 1")
+sql("join_full", "SELECT c.c_custkey, s.s_suppkey FROM {customer} c FULL JOIN {supplier} s ON c.c_custkey = s.s_suppkey + 5")
+sql("join_semi", "SELECT c.c_custkey FROM {customer} c LEFT SEMI JOIN {orders} o ON c.c_custkey = o.o_custkey", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+sql("join_anti", "SELECT d.doc_id FROM {documents} d LEFT ANTI JOIN {labels} l ON d.doc_id = l.doc_id AND l.quality = 1", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
 sql("window_rank", "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS BIGINT) AS r FROM {orders}")
 sql(
     "grouping_sets",

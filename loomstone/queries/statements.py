@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from loomstone.engine import Engine
+from loomstone.plans.catalog import ConstraintError
 from loomstone.session import shared_folder
 from loomstone.sources.tables import load
 
+from .indexes import TOKENS_SQL
 from .registry import register
 
 
@@ -65,4 +69,62 @@ def engine_first_last(spark, d):
 def engine_index_range(spark, d):
     engine = _engine(spark, d, "orders", ORDERS)
     engine.sql("CREATE INDEX by_price ON orders (o_totalprice) USING BTREE")
-    return engine.catalog.lookup("by_price", low=1000.0, high=50000.0)
+    return engine.sql("SELECT * FROM orders WHERE o_totalprice BETWEEN 1000 AND 50000")
+
+
+@register("engine_match", f"WITH {TOKENS_SQL} SELECT doc_id::BIGINT AS doc_id FROM terms WHERE term IN ('the', 'with', 'only') GROUP BY doc_id HAVING count(*) = 3")
+def engine_match(spark, d):
+    engine = _engine(spark, d, "documents", "doc_id BIGINT PRIMARY KEY, text TEXT")
+    engine.sql("CREATE FULLTEXT INDEX by_word ON documents (text)")
+    return engine.sql("SELECT doc_id FROM documents WHERE MATCH(text) AGAINST('the only, WITH')")
+
+
+@register("engine_index_equal", "SELECT event_id::BIGINT AS event_id, event_type FROM events WHERE user_id = 7 AND event_type <> 'error'")
+def engine_index_equal(spark, d):
+    engine = _engine(spark, d, "events", "event_id BIGINT PRIMARY KEY, user_id BIGINT, event_type STRING")
+    engine.sql("CREATE INDEX by_user ON events (user_id) USING HASH")
+    return engine.sql("SELECT event_id, event_type FROM events WHERE user_id = 7 AND event_type <> 'error'")
+
+
+_REFUSED = {
+    "null": "INSERT INTO nation VALUES (100, NULL, 1)",
+    "key": "INSERT INTO nation VALUES (3, 'AGAIN', 1)",
+    "type": "INSERT INTO nation VALUES ('x', 'TEXT', 1)",
+    "unique": "INSERT INTO nation VALUES (101, 'nation_4', 1)",
+    "update": "UPDATE nation SET n_name = NULL WHERE n_nationkey = 2",
+}
+
+
+@register("engine_constraints", "SELECT * FROM (VALUES ('null', true, 25::BIGINT), ('key', true, 25), ('type', true, 25), ('unique', true, 25), ('update', true, 25)) v(rule, refused, n)")
+def engine_constraints(spark, d):
+    engine = _engine(spark, d, "nation", NATION)
+    engine.sql("CREATE UNIQUE INDEX by_name ON nation (n_name)")
+    rows = []
+    for rule, text in _REFUSED.items():
+        try:
+            engine.sql(text)
+            refused = False
+        except ConstraintError:
+            refused = True
+        rows.append((rule, refused, engine.sql("SELECT COUNT(*) AS n FROM nation").first()["n"]))
+    return spark.createDataFrame(rows, "rule string, refused boolean, n long")
+
+
+_BUILT_IN_SQL = """(SELECT 'reader' AS role, unnest(['session', 'memory', 'decision', 'room', 'task', 'query']) AS resource, 'read' AS action UNION ALL
+  SELECT 'writer', unnest(['session', 'memory', 'decision', 'room', 'task', 'query']), 'read' UNION ALL SELECT 'writer', unnest(['session', 'memory', 'decision', 'room', 'task']), 'write' UNION ALL
+  SELECT 'observer', 'audit', 'read' UNION ALL SELECT 'admin', '*', '*')"""
+
+
+@register(
+    "engine_roles",
+    f"""WITH req AS (SELECT event_id AS id, user_id AS agent, ['query', 'audit', 'task'][event_id % 3 + 1] AS resource, CASE WHEN event_id % 2 = 0 THEN 'read' ELSE 'write' END AS action FROM events),
+given AS (SELECT 1 AS agent, 'reader' AS role UNION ALL SELECT 2, 'writer' UNION ALL SELECT 3, 'observer' UNION ALL SELECT 4, 'admin' UNION ALL SELECT 5, 'reader' UNION ALL SELECT 5, 'observer')
+SELECT id::BIGINT AS id, EXISTS (SELECT 1 FROM given JOIN {_BUILT_IN_SQL} p USING (role) WHERE given.agent = req.agent AND p.resource IN ('*', req.resource) AND p.action IN ('*', req.action)) AS allowed FROM req""",
+)
+def engine_roles(spark, d):
+    engine = Engine(spark, f"{shared_folder(spark)}/engine-{uuid.uuid4().hex}")
+    for agent, role in (("1", "reader"), ("2", "writer"), ("3", "observer"), ("4", "admin"), ("5", "reader"), ("5", "observer")):
+        engine.roles.assign(agent, role)
+    resource = F.element_at(F.array(*map(F.lit, ("query", "audit", "task"))), (F.col("event_id") % 3 + 1).cast("int"))
+    asked = load(engine.spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("agent_id"), resource.alias("resource"), F.when(F.col("event_id") % 2 == 0, "read").otherwise("write").alias("action"), F.lit("").alias("scope"))
+    return engine.roles.check_all(asked).select("id", "allowed")
