@@ -1,9 +1,9 @@
 """Exact metric range join of embeddings.
 
-The distance is the chord between unit vectors, so cosine >= t is distance <= r = sqrt(2 - 2 t). Each label draws pivots from its own
-vectors, one for every CELL vectors or so. A vector's home is the cell of its nearest pivot; by the triangle inequality a partner of
-a vector at home in cell i is at distance d(p_i) <= d(p_home) + 2 r, so it is also sent, as a guest, to every cell i within that bound.
-Cells join independently. A cell of many vectors is cut into blocks that meet in pairs, so no task gets a whole one; within
+The distance is the chord between unit vectors, so cosine >= t is distance <= r = sqrt(2 - 2 t). Each large label draws pivots from its own
+vectors, one for every CELL vectors or so; a small one is a single cell. A vector's home is the cell of its nearest pivot; by the triangle inequality a partner of
+a vector at home in cell i is at distance d(p_i) <= d(p_home) + 2 r, and, as chords are lengths in space, it is no farther than r behind the plane
+between p_i and p_home. It is sent as a guest to every cell i that both bounds allow. Cells join independently. A cell of many vectors is cut into blocks that meet in pairs, so no task gets a whole one; within
 a meeting, vectors are ordered by their distance to the pivot and only slices that lie within r of each other are multiplied.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +20,14 @@ from .components import components, forest
 
 #: Fixed value: the least cosine of a link.
 COSINE = 0.98
-#: Vectors for each pivot, pivots of a label at most (they are sent to all executors), and vectors of a block.
+#: Vectors for each pivot, pivots of a label at most, and vectors of a block.
 CELL, PIVOTS, BLOCK = 2000, 256, 1500
-#: Room for rounding in the bounds; the test itself has none.
-SLACK = 1e-9
+#: Bounds of what goes to the driver and all executors: labels with pivots (the largest), bytes of all pivots, rows of a table of cells. Labels beyond are one cell each, and a larger table is shuffled.
+LABELS, PIVOT_BYTES, CELLS = 10_000, 1 << 24, 200_000
+#: Bytes of vectors that a batch takes or gives.
+BATCH_BYTES = 1 << 23
+#: Room for rounding in the bounds (of a root near zero above all); the test itself has none.
+SLACK = 1e-7
 
 
 def _unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
@@ -39,20 +44,28 @@ def usable(embedding: str) -> F.Column:
 
 
 def _pivots(rows: DataFrame) -> dict:
-    """label and dimension -> unit pivots: the vectors of smallest hash, as many as the label's size asks for, PIVOTS at most."""
+    """label and dimension -> unit pivots, of the largest labels: drawn from the vectors of smallest hash, as many as the label's size asks for, PIVOTS at most and PIVOT_BYTES of all."""
     size = rows.groupBy("label", "dim").agg(F.count("*").alias("size"))
-    # About 8 PIVOTS vectors of each label, by hash, of which those of smallest hash are looked at.
-    sampled = rows.join(F.broadcast(size), ["label", "dim"]).where(F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.floor(F.col("size") / (8 * PIVOTS)))) == 0)
-    top = sampled.select("label", "dim", "size", F.struct(F.xxhash64("id").alias("h"), "id", "v").alias("x")).groupBy("label", "dim").agg(F.expr(f"slice(array_sort(collect_list(x)), 1, {PIVOTS})").alias("x"), F.max("size").alias("size"))
+    asked, left = [], PIVOT_BYTES
+    for r in size.where(F.col("size") >= 2 * CELL).orderBy(F.desc("size"), "label", "dim").limit(LABELS).collect():
+        n = min(PIVOTS, r["size"] // CELL, left // (8 * r["dim"]))
+        if n > 1:
+            left -= 8 * r["dim"] * n
+            asked.append((r["label"], r["dim"], n, max(1, r["size"] // (8 * n))))
+    if not asked:
+        return {}
+    # About 8 n vectors of each label, by hash, of which the 2 n of smallest hash are looked at.
+    wanted = F.broadcast(rows.sparkSession.createDataFrame(asked, "label string, dim int, n int, every long"))
+    sampled = rows.join(wanted, ["label", "dim"]).where(F.pmod(F.xxhash64("id"), F.col("every")) == 0)
+    top = sampled.select("label", "dim", "n", F.struct(F.xxhash64("id").alias("h"), "id", "v").alias("x")).groupBy("label", "dim", "n").agg(F.array_sort(F.collect_list("x")).alias("x"))
     out = {}
-    for r in top.collect():
-        n = min(PIVOTS, max(1, round(r["size"] / CELL)))
+    for r in top.select("label", "dim", "n", F.slice("x", F.lit(1), 2 * F.col("n")).alias("x")).collect():
         v, norm = _unit([x["v"] for x in r["x"]])
         v = v / norm[:, None]
         # Farthest-first, so that near copies do not take several pivots.
         chosen = [0]
         far = 2 - 2 * v @ v[0]
-        while len(chosen) < min(n, len(v)):
+        while len(chosen) < min(r["n"], len(v)):
             nxt = int(far.argmax())
             if far[nxt] <= 1e-12:
                 break
@@ -62,6 +75,38 @@ def _pivots(rows: DataFrame) -> dict:
     return out
 
 
+def _cells_of(batches, pivots: dict, r: float):
+    """For vectors of one label and length at a time: batch, label, dim, their rows in it, and row, cell, whether at home there, distance to its pivot, for each cell they go to."""
+    gaps: dict = {}
+    for whole in batches:
+        if not whole.num_rows:
+            continue
+        step = max(1, min(2000, BATCH_BYTES * whole.num_rows // (8 * max(1, pc.sum(whole.column("dim")).as_py()))))
+        for at in range(0, whole.num_rows, step):
+            batch = whole.slice(at, step)
+            keys: dict = {}
+            for i, k in enumerate(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist(), strict=True)):
+                keys.setdefault(k, []).append(i)
+            for (label, dim), rows in keys.items():
+                take = pa.array(rows)
+                v, norm = _unit(batch.column("v").take(take).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), dim))
+                p = pivots.get((label, dim))
+                if p is None:  # one cell; its pivot may be any unit vector
+                    p = np.full((1, dim), dim**-0.5)
+                if (label, dim) not in gaps:
+                    if len(gaps) > 1000:
+                        gaps.clear()
+                    gaps[label, dim] = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))
+                d2 = np.maximum(0, 2 - 2 * (v / norm[:, None]) @ p.T)
+                d, home = np.sqrt(d2), d2.argmin(axis=1)
+                near = d[np.arange(len(rows)), home]
+                goes = d <= near[:, None] + 2 * r + SLACK
+                # The distance behind the plane between two pivots is (d_i^2 - d_home^2) / (2 gap).
+                goes &= d2 - (near**2)[:, None] <= 2 * r * gaps[label, dim][home] + SLACK
+                row, cell = np.nonzero(goes)
+                yield batch, label, dim, take, row, cell, home[row] == cell, d[row, cell]
+
+
 def linked(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, cosine: float) -> np.ndarray:
     """Which pairs reach the cosine, in double precision; what rounding could turn is worked out anew, one pair at a time."""
     cos = (a @ b.T) / np.outer(na, nb)
@@ -84,63 +129,38 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     pivots = spark.sparkContext.broadcast(_pivots(rows))
 
     def place(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                labels, dims = batch.column("label").to_pylist(), batch.column("dim").to_pylist()
-                ids, vs = batch.column("id"), batch.column("v")
-                keys = {}
-                for i, k in enumerate(zip(labels, dims, strict=True)):
-                    keys.setdefault(k, []).append(i)
-                for (label, dim), at_rows in keys.items():
-                    take = pa.array(at_rows)
-                    flat = vs.take(take)
-                    v = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(at_rows), dim)
-                    p = pivots.value[label, dim]
-                    norm = np.sqrt(np.einsum("ij,ij->i", v, v))
-                    d = np.sqrt(np.maximum(0, 2 - 2 * (v / norm[:, None]) @ p.T))
-                    home = d.argmin(axis=1)
-                    near = d.min(axis=1)
-                    near_cell = d <= near[:, None] + 2 * r + SLACK
-                    row, cell = np.nonzero(near_cell)
-                    out = take.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([label] * len(row)), pa.array([dim] * len(row), pa.int32()), pa.array(cell, pa.int32()), pa.array(home[row] == cell), pa.array(home[row], pa.int32()), pa.array(d[row, cell]), ids.take(out), vs.take(out)],
-                        names=["label", "dim", "cell", "own", "home", "far", "id", "v"],
-                    )
-
-    placed = rows.mapInArrow(place, "label string, dim int, cell int, own boolean, home int, far double, id long, v array<double>")
-    # Blocks of a cell: ranges of the distance to the pivot would be uneven, so a hash of the id deals them out.
-    size = rows.mapInArrow(_cell_sizes(pivots), "label string, dim int, cell int").groupBy("label", "dim", "cell").agg(F.count("*").alias("n"))
-    size = size.select("label", "dim", "cell", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int").alias("blocks"))
-    placed = placed.join(F.broadcast(size), ["label", "dim", "cell"]).withColumn("block", F.pmod(F.hash("id"), "blocks"))
-    # Meeting (x, y), x <= y: the vectors at home in block x of the cell against all of block y; own pairs are counted once.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = placed.where("own").select("label", "dim", "cell", F.col("block").alias("x"), other.alias("y"), F.lit(True).alias("first"), "own", "home", "far", "id", "v")
-    right = placed.select("label", "dim", "cell", other.alias("x"), F.col("block").alias("y"), F.lit(False).alias("first"), "own", "home", "far", "id", "v")
-    met = left.unionByName(right).groupBy("label", "dim", "cell", "x", "y").applyInArrow(_meeting(r, cosine), "kind int, a long, b long")
+        for batch, label, dim, take, row, cell, own, far in _cells_of(batches, pivots.value, r):
+            step = max(1, BATCH_BYTES // (8 * dim))
+            for at in range(0, len(row), step):
+                part = slice(at, at + step)
+                out, n = take.take(pa.array(row[part])), len(row[part])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([label] * n, pa.string()), pa.array([dim] * n, pa.int32()), pa.array(cell[part], pa.int32()), pa.array(own[part]), pa.array(far[part]), batch.column("id").take(out), batch.column("v").take(out)],
+                    names=["label", "dim", "cell", "own", "far", "id", "v"],
+                )
+
+    def sizes(batches):
+        for _, label, dim, _, _, cell, own, _ in _cells_of(batches, pivots.value, r):
+            cells, n = np.unique(cell, return_counts=True)
+            at_home = np.bincount(cell[own], minlength=cells[-1] + 1)[cells]
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(cells), pa.string()), pa.array([dim] * len(cells), pa.int32()), pa.array(cells, pa.int32()), pa.array(at_home, pa.int64()), pa.array(n, pa.int64())], names=["label", "dim", "cell", "home", "n"])
+
+    placed = rows.mapInArrow(place, "label string, dim int, cell int, own boolean, far double, id long, v array<double>")
+    # Blocks of a cell's own vectors (x) and of all that are there (y): ranges of the distance to the pivot would be uneven, so a hash of the id deals them out. Cells not listed are one block.
+    blocks = lambda n: F.ceil(F.sum(n) / BLOCK).cast("int")
+    big = checkpointed(rows.mapInArrow(sizes, "label string, dim int, cell int, home long, n long").groupBy("label", "dim", "cell").agg(blocks("home").alias("xs"), blocks("n").alias("ys")).where("ys > 1"))
+    placed = placed.join(F.broadcast(big) if big.count() <= CELLS else big, ["label", "dim", "cell"], "left").withColumns({"xs": F.greatest(F.lit(1), "xs"), "ys": F.greatest(F.lit(1), "ys")})
+    # Meeting (x, y): the vectors at home in block x of the cell against all of block y; a vector is sent to all meetings of its blocks.
+    x, y = F.pmod(F.hash("id"), F.col("xs")), F.pmod(F.hash("id"), F.col("ys"))
+    as_any = F.transform(F.sequence(F.lit(0), F.col("xs") - 1), lambda i: F.struct(i.alias("x"), y.alias("y"), F.lit(False).alias("first")))
+    as_own = F.transform(F.sequence(F.lit(0), F.col("ys") - 1), lambda i: F.struct(x.alias("x"), i.alias("y"), F.lit(True).alias("first")))
+    met = placed.withColumn("m", F.explode(F.when(F.col("own"), F.concat(as_any, as_own)).otherwise(as_any))).select("label", "dim", "cell", "m.x", "m.y", "m.first", "far", "id", "v")
+    met = met.groupBy("label", "dim", "cell", "x", "y").applyInArrow(_meeting(r, cosine), "kind int, a long, b long")
     met = checkpointed(met)
     counts = met.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("n_links"))
     return counts, met.where("kind = 1").select("a", "b")
 
 
-def _cell_sizes(pivots):
-    def run(batches):
-        for batch in batches:
-            labels, dims = batch.column("label").to_pylist(), batch.column("dim").to_pylist()
-            vs = batch.column("v").to_pylist()
-            groups: dict = {}
-            for i, k in enumerate(zip(labels, dims, strict=True)):
-                groups.setdefault(k, []).append(i)
-            for (label, dim), at in groups.items():
-                v = np.array([vs[i] for i in at], dtype=np.float64)
-                norm = np.sqrt(np.einsum("ij,ij->i", v, v))
-                d = np.sqrt(np.maximum(0, 2 - 2 * (v / norm[:, None]) @ pivots.value[label, dim].T))
-                yield pa.RecordBatch.from_arrays([pa.array([label] * len(at)), pa.array([dim] * len(at), pa.int32()), pa.array(d.argmin(axis=1), pa.int32())], names=["label", "dim", "cell"])
-
-    return run
-
-
 def _meeting(r: float, cosine: float):
     def run(key, table):
         table = table.combine_chunks().sort_by("far")

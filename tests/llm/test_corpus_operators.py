@@ -242,7 +242,10 @@ def test_components(spark, most, monkeypatch):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_embeddings(spark, monkeypatch):
+@pytest.mark.parametrize("bounds", [{}, {"PIVOT_BYTES": 3 * 8 * 12, "CELLS": 0, "BATCH_BYTES": 8 * 12 * 5}, {"LABELS": 1}])
+def test_embeddings(spark, monkeypatch, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(embed_join, name, value)
     monkeypatch.setattr(embed_join, "CELL", 40)
     monkeypatch.setattr(embed_join, "BLOCK", 30)
     rng = np.random.default_rng(2)
