@@ -361,14 +361,14 @@ def test_warc(spark):
     for i in range(600):
         url = rng.choice(["http://A.com/x/", "https://a.com/x?utm_source=q", "a.com/x", "http://b.org/?b=1&a=2", "http://b.org?a=2&b=1#f", None, ""])
         kind = rng.choice(["response", "revisit", "revisit", "other", None])
-        rows.append((i, url, rng.choice([None, *range(200)]), kind, rng.choice([None, "e1", "e2"]), rng.choice([None, "m"]), None, rng.choice([None, {}, {"ETag": "z", "X": "1"}, {"Vary": "v", "Set-Cookie": "c"}])))
+        rows.append((i, url, rng.choice([None, *range(200)]), kind, rng.choice([None, "e1", "e2"]), rng.choice([None, "m"]), rng.choice([None, None, "d1", "d2"]), rng.choice([None, {}, {"ETag": "z", "X": "1"}, {"Vary": "v", "Set-Cookie": "c"}])))
     rows.append(rows[1])
     df = spark.createDataFrame(rows, rec)
     keys = {r["record_id"]: r["k"] for r in df.select("record_id", warc.canonical_url(df["url"]).alias("k")).collect()}
     assert keys[next(i for i, r in enumerate(rows) if r[1] == "http://A.com/x/")] == "a.com/x"
     assert {keys[i] for i, r in enumerate(rows[:600]) if r[1] and "b.org" in r[1]} == {"b.org?a=2&b=1"}
     want = []
-    for i, _url, at, kind, etag, lm, _dg, headers in rows:
+    for i, _url, at, kind, etag, lm, digest, headers in rows:
         if kind != "revisit":
             continue
         before = [r for r in rows if r[3] == "response" and keys[r[0]] is not None and keys[r[0]] == keys[i] and r[2] is not None and at is not None and r[2] < at]
@@ -377,7 +377,7 @@ def test_warc(spark):
         if hit is None:
             outcome = "orphan"
         else:
-            pairs = [(a, b) for a, b in ((etag, hit[4]), (lm, hit[5])) if a is not None and b is not None]
+            pairs = [(a, b) for a, b in ((etag, hit[4]), (lm, hit[5]), (digest, hit[6])) if a is not None and b is not None]
             outcome = "conflict" if any(a != b for a, b in pairs) else "resolved" if pairs else "unvalidated"
         if outcome == "resolved":
             own = {k.lower(): v for k, v in (hit[7] or {}).items()} | {k: v for k, v in own.items() if k in warc.PERMITTED}

@@ -65,6 +65,35 @@ def test_stages_keep_columns(spark):
         assert stage(spark, docs, DATA).columns == docs.columns
 
 
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows and columns of the operators' own names pass every stage; an empty table stays empty."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    clash = {"_id": "j", "_text": "a", "ids": "b", "n": "c", "h": "d", "score": "e", "component_id": "f", "kept": "g", "label": "i"}
+    long = " ".join(f"calm{i}" for i in range(200_000))
+    rows = [(-1, None, None, None, None), (-2, "", "en", "s", 0), (-3, "  \n ", "en", "s", 4), (-4, long, "en", "s", len(long)), (-5, "a quiet river", None, None, None), (-5, "a quiet river", None, None, None), (None, "the quiet hill", "en", "s", 14), (None, None, None, None, None)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    odd = odd.select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])
+    for k, table in enumerate((odd, odd.limit(0))):
+        for name, stage in corpus_pipeline.STAGES:
+            # The fit of the first stage needs labelled rows, so it goes over the documents as well.
+            given = table.unionByName(docs.limit(0 if k else 200)) if name == "toxicity" else table
+            given = given.withColumns({c: F.lit(v) for c, v in clash.items()}) if name != "tokens" else given
+            if name == "toxicity" and k:
+                continue
+            out = stage(spark, given, DATA)
+            if name != "tokens":
+                assert out.columns == given.columns
+                assert all(r[c] == v for r in out.limit(5).collect() for c, v in clash.items())
+            found = sorted((r["doc_id"] for r in out.where("doc_id < 0 OR doc_id IS NULL").select("doc_id").collect()), key=str)
+            # Of rows that repeat an id near_duplicates leaves one.
+            want = [] if k else [r[0] for i, r in enumerate(rows) if name != "near_duplicates" or i != 5]
+            assert found == sorted(want, key=str), name
+    got = [(r["doc_id"], r["n_tokens"], r["ids"]) for r in corpus_pipeline.tokens(spark, odd, DATA).collect()]
+    assert sorted(i for i, n, _ in got if n == 0 and i is not None) == [-2, -1] and all(len(x) == n for _, n, x in got)
+
+
 def test_no_import_from_the_rest():
     """Nothing else in the library imports this package."""
     import pathlib
