@@ -191,11 +191,7 @@ class Graph:
 
     def within(self, node: str, depth: int, direction: str = "out") -> DataFrame:
         """Nodes at distance 1 to depth, with it."""
-        tables = self._tables()
-        out = tables[0].limit(0).withColumn("depth", F.lit(0))
-        for k in range(1, depth + 1):
-            out = out.unionByName(graph.k_hop(*tables, node, k, direction).withColumn("depth", F.lit(k)))
-        return out
+        return graph.within(*self._tables(), node, depth, direction)
 
     def shortest_path(self, a: str, b: str, direction: str = "both") -> DataFrame:
         found = graph.shortest_path(*self._tables(), a, b, direction)

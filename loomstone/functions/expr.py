@@ -40,6 +40,11 @@ def compat_avg(x: Column) -> Column:
     return F.try_divide(F.coalesce(F.sum(x.cast("double")), F.lit(0.0)), F.count(F.lit(1)))
 
 
+def compat_truth(x: Column, empty) -> Column:
+    """Two-valued truth: null and the empty value of the column's kind ('', 0 or False) are false, all else is true."""
+    return F.coalesce(x != F.lit(empty), F.lit(False))
+
+
 def fold_key(s: Column) -> Column:
     """Index keys compare strings with A-Z folded."""
     return F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

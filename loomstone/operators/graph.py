@@ -41,6 +41,19 @@ def k_hop(nodes: DataFrame, edges: DataFrame, node, k: int, direction: str = "bo
     return nodes.join(front, "id", "left_semi")
 
 
+def within(nodes: DataFrame, edges: DataFrame, node, depth: int, direction: str = "out") -> DataFrame:
+    """Existing nodes whose shortest distance is 1 to depth, with it, in one walk."""
+    steps = _steps(edges, direction)
+    front = nodes.sparkSession.createDataFrame([(node,)], nodes.select("id").schema)
+    seen = front.withColumn("depth", F.lit(0))
+    for k in range(1, depth + 1):
+        front = cut_lineage(steps.join(front.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti"))
+        if front.isEmpty():
+            break
+        seen = cut_lineage(seen.unionByName(front.withColumn("depth", F.lit(k))))
+    return nodes.drop("depth").join(seen.where("depth > 0"), "id")
+
+
 def shortest_path(nodes: DataFrame, edges: DataFrame, start, end, direction: str = "both") -> DataFrame:
     """One row (length, path): the smallest of the shortest paths in the order of its ids; nodes between need not exist. No row if there is no path."""
     spark = nodes.sparkSession

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions.vectors import metric, vector_literal
+from loomstone.session import shared_folder
 
 #: Queries of a batch join that go to all executors at once.
 QUERY_BLOCK = 4096
@@ -31,10 +33,11 @@ def _metric_block(name: str, v: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(norms == 0, 1.0, 1 - np.divide(v @ q.T, norms, out=np.zeros_like(norms), where=norms != 0))
 
 
-def knn_join(queries: DataFrame, vectors: DataFrame, k: int, name: str = "cosine", id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+def knn_join(queries: DataFrame, vectors: DataFrame, k: int, name: str = "cosine", id_col: str = "id", vector_col: str = "vector", probed=None) -> DataFrame:
     """For each query its k nearest vectors: query_id, id, distance, rank.
 
-    Queries are a stated set; blocks of QUERY_BLOCK go to all executors, each partition keeps its k best for each query, and only those are shuffled."""
+    Queries are a stated set; blocks of QUERY_BLOCK go to all executors, each partition keeps its k best for each query, and only those are shuffled.
+    probed: from the matrix of queries to a truth table (query, cell); then a query meets only the vectors whose column cell it marks."""
     spark = queries.sparkSession
     numbered = queries.select(F.col(id_col).alias("qid"), F.col(vector_col).cast("array<double>").alias("q")).where("q IS NOT NULL")
     blocks = max(1, -(-numbered.count() // QUERY_BLOCK))
@@ -44,27 +47,36 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, name: str = "cosine
     for b in range(blocks):
         part = numbered if blocks == 1 else numbered.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
         rows = part.orderBy("qid").toPandas()
-        shared = spark.sparkContext.broadcast((rows["qid"].to_numpy(), np.array(rows["q"].tolist(), dtype=np.float64)))
+        q = np.array(rows["q"].tolist(), dtype=np.float64)
+        shared = spark.sparkContext.broadcast((rows["qid"].to_numpy(), q, probed(q) if probed and len(q) else None))
 
         def best(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            qid, q = shared.value
+            qid, q, asks = shared.value
             ids, dist = [np.empty(0, object)] * len(qid), [np.empty(0)] * len(qid)
             for pdf in frames:
                 pdf = pdf[pdf["v"].notna()]
                 if not len(pdf) or not len(qid):
                     continue
-                v = np.array(pdf["v"].tolist(), dtype=np.float64)
-                d = _metric_block(name, v, q)
-                at = pdf["id"].to_numpy()
-                for j in range(len(qid)):
-                    i, x = np.concatenate([ids[j], at]), np.concatenate([dist[j], d[:, j]])
-                    order = np.lexsort((i.astype(pdf["id"].dtype), x))[:k] if len(i) > k else np.arange(len(i))
-                    ids[j], dist[j] = i[order], x[order]
+                for cell, some in pdf.groupby("cell") if asks is not None else [(None, pdf)]:
+                    who = np.arange(len(qid)) if cell is None else np.flatnonzero(asks[:, cell])
+                    if not len(who):
+                        continue
+                    d = _metric_block(name, np.array(some["v"].tolist(), dtype=np.float64), q[who])
+                    at = some["id"].to_numpy()
+                    # Of each query only what is no farther than the k-th of these rows and of those before can be among its k.
+                    limit = np.partition(d, k - 1, axis=0)[k - 1] if len(d) > k else np.full(len(who), np.inf)
+                    limit = np.minimum(limit, [dist[j].max() if len(dist[j]) >= k else np.inf for j in who])
+                    close = ~(d > limit)
+                    for c in np.flatnonzero(close.any(axis=0)):
+                        j, hit = who[c], close[:, c]
+                        i, x = np.concatenate([ids[j], at[hit]]), np.concatenate([dist[j], d[hit, c]])
+                        order = np.lexsort((i.astype(at.dtype), x))[:k]
+                        ids[j], dist[j] = i[order], x[order]
             for j in range(len(qid)):
                 if len(ids[j]):
                     yield pd.DataFrame({"query_id": qid[j], "id": ids[j], "distance": dist[j]})
 
-        found = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInPandas(best, schema)
+        found = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), *["cell"] * bool(probed)).mapInPandas(best, schema)
         out = found if out is None else out.unionByName(found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return out.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
@@ -112,12 +124,15 @@ def check_dimension(vectors: DataFrame, dim: int, vector_col: str = "vector") ->
 
 
 class IvfIndex:
-    """Approximate search: k-means cells fitted on a bounded sample, every vector in its nearest cell, nearest cells probed and ranked exactly."""
+    """Approximate search: k-means cells fitted on a bounded sample, every vector stored in the folder of its nearest cell, nearest cells probed and ranked exactly.
 
-    #: Vectors that the fit uses at most.
+    A search reads the folders of the cells it probes and no others. Vectors that are null are in no cell."""
+
+    #: Vectors that the fit uses at most: those of smallest hash.
     SAMPLE = 20_000
 
-    def __init__(self, vectors: DataFrame, cells: int = 32, name: str = "cosine", id_col: str = "id", vector_col: str = "vector", rounds: int = 8):
+    def __init__(self, vectors: DataFrame, cells: int = 32, name: str = "cosine", id_col: str = "id", vector_col: str = "vector", rounds: int = 8, path: str | None = None):
+        """path: where the cells are stored, by default in the shared folder."""
         self.name, self.id_col, self.vector_col = name, id_col, vector_col
         sample = vectors.select(F.col(vector_col).cast("array<double>").alias("v")).where("v IS NOT NULL").orderBy(F.xxhash64("v")).limit(self.SAMPLE).toPandas()
         v = np.array(sample["v"].tolist(), dtype=np.float64)
@@ -130,9 +145,34 @@ class IvfIndex:
                 if (own == c).any():
                     centers[c] = v[own == c].mean(0)
         self.centers = centers
+        spark = vectors.sparkSession
+        self.path = path or f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
         points = F.array(*[F.struct(cell.alias("d"), F.lit(i).alias("cell")) for i, cell in enumerate(metric(name)(F.col(vector_col), vector_literal(c)) for c in centers)])
-        self.table = vectors.withColumn("cell", F.array_min(points)["cell"])
+        cell = F.array_min(points)["cell"] if len(centers) else F.lit(0)
+        placed = vectors.where(F.col(vector_col).isNotNull()).withColumn("cell", cell)
+        placed.write.partitionBy("cell").parquet(self.path)
+        self.table = spark.read.schema(placed.schema).parquet(self.path)
+
+    def _nearest(self, q: np.ndarray, probes: int) -> np.ndarray:
+        """For each query the cells to probe, nearest first."""
+        return _metric_block(self.name, self.centers, q).argsort(axis=0, kind="stable")[:probes].T
 
     def search(self, query, k: int, probes: int = 8) -> DataFrame:
-        near = _metric_block(self.name, self.centers, np.array([query], dtype=np.float64))[:, 0].argsort()[:probes]
-        return search(self.table.where(F.col("cell").isin([int(c) for c in near])), query, k, self.name, self.id_col, self.vector_col)
+        near = self._nearest(np.array([query], dtype=np.float64), probes)[0] if len(self.centers) else []
+        return search(self.table.where(F.col("cell").isin([int(c) for c in near])), query, k, self.name, self.id_col, self.vector_col).drop("cell")
+
+    def join(self, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
+        """knn_join in the probed cells: query_id, id, distance, rank."""
+
+        def probed(q: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(q), len(self.centers)), dtype=bool)
+            np.put_along_axis(out, self._nearest(q, probes), True, axis=1)
+            return out
+
+        return knn_join(queries, self.table, k, self.name, self.id_col, self.vector_col, probed if len(self.centers) else None)
+
+    def recall(self, queries: DataFrame, k: int, probes: int = 8) -> float:
+        """The share of the k nearest by brute force that the index finds."""
+        exact = knn_join(queries, self.table, k, self.name, self.id_col, self.vector_col).select("query_id", "id")
+        found = exact.join(self.join(queries, k, probes).select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+        return found.agg(F.avg(F.coalesce("hit", F.lit(0)))).first()[0]

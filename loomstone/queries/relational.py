@@ -112,6 +112,24 @@ def compat_avg_null_as_zero(spark, d):
     return rows.groupBy("lang").agg(F.round(expr.compat_avg(F.col("quality")), 9).alias("a"))
 
 
+@register(
+    "compat_truthiness",
+    """SELECT d.doc_id, coalesce(CASE d.doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN d.lang END <> '', false) AS word, coalesce(l.toxic <> 0, false) AS number
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+)
+def compat_truthiness(spark, d):
+    rows = load(spark, d, "documents").select("doc_id", "lang").join(load(spark, d, "labels"), "doc_id", "left")
+    word = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.col("lang"))
+    return rows.select("doc_id", expr.compat_truth(word, "").alias("word"), expr.compat_truth(F.col("toxic"), 0).alias("number"))
+
+
+@register("compat_group_column", "SELECT l_orderkey, arg_min(l_quantity, (l_partkey, l_suppkey, l_linenumber)) AS l_quantity, count(*) AS n FROM lineitem GROUP BY l_orderkey")
+def compat_group_column(spark, d):
+    """A column that is no aggregate stands for the group's first row in the order of a key."""
+    key = F.struct("l_partkey", "l_suppkey", "l_linenumber")
+    return load(spark, d, "lineitem").groupBy("l_orderkey").agg(expr.first_by(F.col("l_quantity"), key).alias("l_quantity"), F.count("*").alias("n"))
+
+
 @register("agg_first_last", "SELECT o_custkey, arg_min(o_totalprice, o_orderkey::VARCHAR) AS first_price, arg_max(o_totalprice, o_orderkey::VARCHAR) AS last_price FROM orders GROUP BY o_custkey")
 def agg_first_last(spark, d):
     key = F.col("o_orderkey").cast("string")
