@@ -72,8 +72,8 @@ def test_tree_and_lineage(spark):
 
 def test_long_chains(spark, monkeypatch):
     """Paths of more than 64 steps and trees of more than 100 levels are whole."""
-    for module in (graph, lineage):  # quicker than the shared folder
-        monkeypatch.setattr(module, "cut_lineage", lambda df: df.coalesce(1).localCheckpoint())
+    for module in (graph, lineage):  # fewer tasks
+        monkeypatch.setattr(module, "cut_lineage", lambda df: df.coalesce(1).checkpoint())
     n = 70
     nodes = spark.range(n).selectExpr("id", "'t' AS type", "'x' AS name").coalesce(1)
     edges = spark.range(n - 1).selectExpr("id", "'e' AS type", "id AS src", "id + 1 AS dst").coalesce(1)
