@@ -7,16 +7,17 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.session import cut_lineage
+from loomstone.session import bare, cut_lineage
 
 
 def tree(df: DataFrame, root, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
     """(id, depth) of the subtree below a root, its own included; a cycle ends where an id would come again."""
     links = df.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"))
-    front = links.where(F.col("id") == root).select("id", F.lit(0).cast("long").alias("depth"))
+    front = bare(links.where(F.col("id") == root).select("id", F.lit(0).cast("long").alias("depth")))
     out = front
     for depth in itertools.count(1):
-        front = cut_lineage(links.join(front.select(F.col("id").alias("parent")), "parent", "left_semi").select("id").join(out, "id", "left_anti").select("id", F.lit(depth).cast("long").alias("depth")))
+        nxt = links.join(front.select(F.col("id").alias("parent")), "parent", "left_semi").select("id").join(out, "id", "left_anti")
+        front = cut_lineage(bare(nxt.select("id", F.lit(depth).cast("long").alias("depth"))))
         if front.isEmpty():
             return out
         out = cut_lineage(out.unionByName(front))
@@ -36,7 +37,7 @@ def upstream(lineage: DataFrame, data_id, most: int, id_col: str = "data_id", so
     out = front
     for depth in range(2, most + 1):
         nxt = links.join(front, "id").where("source IS NOT NULL").groupBy(F.col("source").alias("id")).agg(F.sum("copies").alias("copies")).join(known, "id", "left_semi")
-        front = cut_lineage(nxt.select("id", F.lit(depth).cast("long").alias("depth"), "copies"))
+        front = cut_lineage(bare(nxt.select("id", F.lit(depth).cast("long").alias("depth"), "copies")))
         if front.isEmpty():
             break
         out = cut_lineage(out.unionByName(front))

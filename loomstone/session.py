@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 #: Settings that results or plans rest on. Sizes (memory, partitions) are the cluster's to set.
 SETTINGS = {
@@ -39,3 +40,9 @@ def cut_lineage(df):
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def bare(df):
+    """The rows of df without what the optimizer knows of its columns. A checkpoint keeps that, and where one column follows from another (parent from id) each level of a walk
+    would put the expression into that of the level before: it doubles at each level until the driver's memory ends."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))

@@ -84,6 +84,21 @@ def test_long_chains(spark, monkeypatch):
     assert tuple(lineage.subtree_total(rows, 0, "duration_ms").first()) == (0, n, 2 * n)
 
 
+def test_walks_of_derived_links(spark, monkeypatch):
+    """What the optimizer derives of a column from another does not pile up over the levels of a walk."""
+    sizes = []
+
+    def cut(df):
+        out = df.coalesce(1).checkpoint()
+        sizes.append(len(out._jdf.queryExecution().optimizedPlan().constraints().toString()))
+        return out
+
+    monkeypatch.setattr(lineage, "cut_lineage", cut)
+    rows = spark.range(1, 128).selectExpr("id", "CASE WHEN id > 1 THEN floor(id / 2) END AS parent_id").coalesce(1)
+    assert sorted(map(tuple, lineage.tree(rows, 3).collect())) == sorted((i, i.bit_length() - 2) for i in range(1, 128) if bin(i)[2:4] == "11")
+    assert len(sizes) > 8 and max(sizes) < 1000
+
+
 def test_chunks(spark):
     docs = spark.createDataFrame([(1, "Tides rise.\n\nBoats leave the quay.\n\n\n\nGulls follow."), (2, ""), (3, None)], "id int, text string")
     assert [(r["chunk_index"], r["chunk"][:5]) for r in rag.chunk_paragraphs(docs, "id", "text").orderBy("chunk_index").collect()] == [(0, "Tides"), (1, "Boats"), (3, "Gulls")]
