@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.session import cut_lineage
+from loomstone.session import bare, cut_lineage
 
 
 def _steps(edges: DataFrame, direction: str) -> DataFrame:
@@ -36,7 +36,7 @@ def k_hop(nodes: DataFrame, edges: DataFrame, node, k: int, direction: str = "bo
     front = nodes.sparkSession.createDataFrame([(node,)], nodes.select("id").schema)
     seen = front
     for _ in range(k):
-        front = cut_lineage(steps.join(front.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti"))
+        front = cut_lineage(bare(steps.join(front.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti")))
         seen = cut_lineage(seen.unionByName(front))
     return nodes.join(front, "id", "left_semi")
 
@@ -47,7 +47,7 @@ def within(nodes: DataFrame, edges: DataFrame, node, depth: int, direction: str
     front = nodes.sparkSession.createDataFrame([(node,)], nodes.select("id").schema)
     seen = front.withColumn("depth", F.lit(0))
     for k in range(1, depth + 1):
-        front = cut_lineage(steps.join(front.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti"))
+        front = cut_lineage(bare(steps.join(front.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti")))
         if front.isEmpty():
             break
         seen = cut_lineage(seen.unionByName(front.withColumn("depth", F.lit(k))))
@@ -65,7 +65,7 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, start, end, direction: str
     seen = front.select("id")
     while True:
         front = cut_lineage(
-            steps.join(front, steps["a"] == front["id"]).select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path")).join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path"))
+            bare(steps.join(front, steps["a"] == front["id"]).select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path")).join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
         )
         hit = front.where(F.col("id") == end)
         if not hit.isEmpty():

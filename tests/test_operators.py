@@ -97,6 +97,23 @@ def test_walks_of_derived_links(spark, monkeypatch):
     rows = spark.range(1, 128).selectExpr("id", "CASE WHEN id > 1 THEN floor(id / 2) END AS parent_id").coalesce(1)
     assert sorted(map(tuple, lineage.tree(rows, 3).collect())) == sorted((i, i.bit_length() - 2) for i in range(1, 128) if bin(i)[2:4] == "11")
     assert len(sizes) > 8 and max(sizes) < 1000
+    assert tuple(lineage.subtree_total(rows.withColumn("ms", F.lit(2)), 3, "ms").first()) == (3, 63, 126)
+
+
+def test_walks_of_derived_edges(spark, monkeypatch):
+    sizes = []
+
+    def cut(df):
+        out = df.coalesce(1).checkpoint()
+        sizes.append(len(out._jdf.queryExecution().optimizedPlan().constraints().toString()))
+        return out
+
+    monkeypatch.setattr(graph, "cut_lineage", cut)
+    nodes = spark.range(1, 128).selectExpr("id", "'t' AS type", "'x' AS name").coalesce(1)
+    edges = spark.range(1, 128).selectExpr("id", "'e' AS type", "CASE WHEN id > 1 THEN floor(id / 2) END AS src", "id AS dst").coalesce(1)
+    assert sorted(r["id"] for r in graph.k_hop(nodes, edges, 3, 5, "out").collect()) == list(range(96, 128))
+    assert graph.shortest_path(nodes, edges, 1, 100, "out").first()["path"] == [1, 3, 6, 12, 25, 50, 100]
+    assert len(sizes) > 8 and max(sizes) < 1000
 
 
 def test_chunks(spark):
