@@ -15,6 +15,8 @@ from loomstone.session import shared_folder
 
 #: Queries of a batch join that go to all executors at once.
 QUERY_BLOCK = 4096
+#: Vectors, and queries, of a tile: a task of a join holds TILE x TILE distances at a time, whatever the sizes of blocks and batches.
+TILE = 512
 
 
 def search(vectors: DataFrame, query, k: int, name: str = "cosine", id_col: str = "id", vector_col: str = "vector") -> DataFrame:
@@ -33,10 +35,95 @@ def _metric_block(name: str, v: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(norms == 0, 1.0, 1 - np.divide(v @ q.T, norms, out=np.zeros_like(norms), where=norms != 0))
 
 
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each row of a with that row of b, summed in the order of components: unlike those of a matrix product the last bits do not depend on the shape, so equal vectors are equally far."""
+    return np.cumsum(a * b, axis=1)[:, -1] if a.shape[1] else np.zeros(len(a))
+
+
+def _metric_pairs(name: str, v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Of each row of v to that row of q."""
+    out = np.empty(len(v))
+    step = max(1, TILE * TILE // max(1, v.shape[1]))
+    for at in range(0, len(v), step):
+        a, b = v[at : at + step], q[at : at + step]
+        if name in ("l2", "euclidean"):
+            x = np.sqrt(_dots(a - b, a - b))
+        elif name in ("dot", "dotproduct"):
+            x = -_dots(a, b)
+        else:
+            norms = np.sqrt(_dots(a, a)) * np.sqrt(_dots(b, b))
+            x = np.where(norms == 0, 1.0, 1 - np.divide(_dots(a, b), norms, out=np.zeros_like(norms), where=norms != 0))
+        out[at : at + step] = x
+    return out
+
+
+def _noise(name: str, v: np.ndarray, q: np.ndarray, d):
+    """How far a distance d of _metric_block may be off that of _metric_pairs, generously: for each query."""
+    vv, qq = (v * v).sum(1).max(initial=0), (q * q).sum(1)
+    if name in ("l2", "euclidean"):
+        return np.sqrt(np.square(d) + 1e-10 * (vv + qq)) - d
+    return 1e-10 * np.sqrt(vv * qq) if name in ("dot", "dotproduct") else np.full(len(q), 1e-10)
+
+
+def _first(group: np.ndarray) -> np.ndarray:
+    """The place of each row within its group, of sorted groups."""
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    return np.arange(len(group)) - np.repeat(starts, np.diff(np.r_[starts, len(group)]))
+
+
+class _Best:
+    """The k nearest of each query so far, in arrays of queries by k."""
+
+    def __init__(self, name: str, q: np.ndarray, k: int):
+        self.name, self.q, self.k = name, q, k
+        self.dist, self.ids, self.n = np.full((len(q), k), np.inf), np.empty((len(q), k), object), np.zeros(len(q), int)
+
+    def add(self, at: np.ndarray, v: np.ndarray, who: np.ndarray) -> None:
+        """A tile of vectors, v of ids at, for a tile of queries."""
+        d = _metric_block(self.name, v, self.q[who])
+        # Of each query only what is no farther than the k-th of these rows and of those before can be among its k.
+        limit = np.nan_to_num(self.dist[who, -1], nan=np.inf, posinf=np.inf, neginf=-np.inf)
+        if len(d) > self.k:
+            limit = np.fmin(limit, np.partition(d, self.k - 1, axis=0)[self.k - 1])
+        known = np.isfinite(limit)
+        limit[known] += _noise(self.name, v, self.q[who[known]], limit[known])
+        r, c = np.nonzero(~(d > limit))
+        if len(r):
+            # A query that meets very many candidates (vectors of one direction) takes them piece by piece.
+            step = TILE * TILE // 4
+            for i in range(0, len(r), step):
+                self._merge(at, v, r[i : i + step], who[c[i : i + step]])
+
+    def _merge(self, at: np.ndarray, v: np.ndarray, r: np.ndarray, j: np.ndarray) -> None:
+        x = np.concatenate([_metric_pairs(self.name, v[r[i : i + TILE]], self.q[j[i : i + TILE]]) for i in range(0, len(r), TILE)])
+        old = np.unique(j)
+        before = np.arange(self.k) < self.n[old][:, None]
+        j = np.concatenate([np.repeat(old, self.n[old]), j])
+        x, ids = np.concatenate([self.dist[old][before], x]), np.concatenate([self.ids[old][before], at[r]])
+        order = np.lexsort((ids.astype(at.dtype), x, j))
+        j = j[order]
+        rank = _first(j)
+        keep = rank < self.k
+        j, rank, order = j[keep], rank[keep], order[keep]
+        self.dist[j, rank], self.ids[j, rank] = x[order], ids[order]
+        self.n[old] = np.bincount(j, minlength=len(self.n))[old]
+
+
+def _few_of_equals(at: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Without the rows beyond the k smallest ids of each vector, which are as far as those from any query."""
+    if not v.shape[1]:
+        return at, v
+    same = np.unique(v.view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))).ravel(), return_inverse=True)[1]
+    order = np.lexsort((at, same))
+    keep = order[_first(same[order]) < k]
+    return at[keep], v[keep]
+
+
 def knn_join(queries: DataFrame, vectors: DataFrame, k: int, name: str = "cosine", id_col: str = "id", vector_col: str = "vector", probed=None) -> DataFrame:
     """For each query its k nearest vectors: query_id, id, distance, rank.
 
     Queries are a stated set; blocks of QUERY_BLOCK go to all executors, each partition keeps its k best for each query, and only those are shuffled.
+    A task holds a tile of distances at a time.
     probed: from the matrix of queries to a truth table (query, cell); then a query meets only the vectors whose column cell it marks."""
     spark = queries.sparkSession
     numbered = queries.select(F.col(id_col).alias("qid"), F.col(vector_col).cast("array<double>").alias("q")).where("q IS NOT NULL")
@@ -52,29 +139,21 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, name: str = "cosine
 
         def best(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             qid, q, asks = shared.value
-            ids, dist = [np.empty(0, object)] * len(qid), [np.empty(0)] * len(qid)
+            found = _Best(name, q, k)
             for pdf in frames:
                 pdf = pdf[pdf["v"].notna()]
                 if not len(pdf) or not len(qid):
                     continue
                 for cell, some in pdf.groupby("cell") if asks is not None else [(None, pdf)]:
                     who = np.arange(len(qid)) if cell is None else np.flatnonzero(asks[:, cell])
-                    if not len(who):
-                        continue
-                    d = _metric_block(name, np.array(some["v"].tolist(), dtype=np.float64), q[who])
-                    at = some["id"].to_numpy()
-                    # Of each query only what is no farther than the k-th of these rows and of those before can be among its k.
-                    limit = np.partition(d, k - 1, axis=0)[k - 1] if len(d) > k else np.full(len(who), np.inf)
-                    limit = np.minimum(limit, [dist[j].max() if len(dist[j]) >= k else np.inf for j in who])
-                    close = ~(d > limit)
-                    for c in np.flatnonzero(close.any(axis=0)):
-                        j, hit = who[c], close[:, c]
-                        i, x = np.concatenate([ids[j], at[hit]]), np.concatenate([dist[j], d[hit, c]])
-                        order = np.lexsort((i.astype(at.dtype), x))[:k]
-                        ids[j], dist[j] = i[order], x[order]
-            for j in range(len(qid)):
-                if len(ids[j]):
-                    yield pd.DataFrame({"query_id": qid[j], "id": ids[j], "distance": dist[j]})
+                    for i in range(0, len(some) if len(who) else 0, TILE):
+                        rows = some[i : i + TILE]
+                        at, v = _few_of_equals(rows["id"].to_numpy(), np.array(rows["v"].tolist(), dtype=np.float64), k)
+                        for c in range(0, len(who), TILE):
+                            found.add(at, v, who[c : c + TILE])
+            for i in range(0, len(qid), TILE):
+                j, rank = np.nonzero(np.arange(k) < found.n[i : i + TILE, None])
+                yield pd.DataFrame({"query_id": qid[i + j], "id": found.ids[i + j, rank], "distance": found.dist[i + j, rank]})
 
         found = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), *["cell"] * bool(probed)).mapInPandas(best, schema)
         out = found if out is None else out.unionByName(found)

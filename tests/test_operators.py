@@ -178,3 +178,29 @@ def test_joins_with_vectors(spark):
     assert [r["id"] for r in got] == [1, 3]
     assert {(r["query_id"], r["id"]) for r in vector.range_join(rows.where("id = 1"), rows, 0.5).collect()} == {(1, 1), (1, 3)}
     assert vector.search(rows, [1.0, 0.0, 0.0], 1, "l2").first()["distance"] > 1e38
+
+
+@pytest.mark.parametrize("kind", ["knn", "range"])
+def test_joins_in_tiles(spark, monkeypatch, kind):
+    """What a task holds does not depend on the sizes of blocks of queries and batches of vectors."""
+    import tracemalloc
+
+    import pandas as pd
+
+    v = np.random.default_rng(5).normal(size=(10_000, 4))
+    v[5000:6000] = v[:1000]  # copies: ties go by id
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v[:2000])], "id long, vector array<double>")
+    taken = []
+    monkeypatch.setattr(type(queries), "mapInPandas", lambda self, f, schema: taken.append(f) or self.sparkSession.createDataFrame([], schema))
+    vector.knn_join(queries, queries, 3) if kind == "knn" else vector.range_join(queries, queries, 1e-4)
+    tracemalloc.start()
+    found = list(taken[0](iter([pd.DataFrame({"id": np.arange(len(v)), "v": list(v)})])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6
+    got = {(q, i) for q, i in pd.concat(found)[["query_id", "id"]].astype(int).itertuples(index=False)}
+    unit = v / np.sqrt((v * v).sum(1))[:, None]
+    for q in range(0, 2000, 97):
+        d = 1 - (unit * unit[q]).sum(1)
+        want = np.lexsort((np.arange(len(v)), d.round(13)))[:3] if kind == "knn" else np.flatnonzero(d <= 1e-4)
+        assert {i for p, i in got if p == q} == set(want.tolist())
