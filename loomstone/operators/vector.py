@@ -162,7 +162,7 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, name: str = "cosine
 
 
 def range_join(queries: DataFrame, vectors: DataFrame, limit: float, name: str = "cosine", id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """All (query_id, id, distance) within a distance, for a stated set of queries sent out in blocks."""
+    """All (query_id, id, distance) within a distance, for a stated set of queries sent out in blocks. A task holds a tile of distances at a time."""
     spark = queries.sparkSession
     numbered = queries.select(F.col(id_col).alias("qid"), F.col(vector_col).cast("array<double>").alias("q")).where("q IS NOT NULL")
     blocks = max(1, -(-numbered.count() // QUERY_BLOCK))
@@ -176,11 +176,14 @@ def range_join(queries: DataFrame, vectors: DataFrame, limit: float, name: str =
             qid, q = shared.value
             for pdf in frames:
                 pdf = pdf[pdf["v"].notna()]
-                for at in range(0, len(pdf) if len(qid) else 0, 1000):
-                    some = pdf[at : at + 1000]
-                    d = _metric_block(name, np.array(some["v"].tolist(), dtype=np.float64), q)
-                    i, j = np.nonzero(d <= limit)
-                    yield pd.DataFrame({"query_id": qid[j], "id": some["id"].to_numpy()[i], "distance": d[i, j]})
+                for at in range(0, len(pdf) if len(qid) else 0, TILE):
+                    some = pdf[at : at + TILE]
+                    ids, v = some["id"].to_numpy(), np.array(some["v"].tolist(), dtype=np.float64)
+                    for c in range(0, len(q), TILE):
+                        d = _metric_block(name, v, q[c : c + TILE])
+                        i, j = np.nonzero(d <= limit)
+                        if len(i):
+                            yield pd.DataFrame({"query_id": qid[c + j], "id": ids[i], "distance": d[i, j]})
 
         found = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInPandas(near, schema)
         out = found if out is None else out.unionByName(found)
